@@ -2,7 +2,9 @@
 
 Documents come in batches of ascending ``doc_id``. Map tasks hash every window of
 ``width`` words of a chunk of documents, settle repeats inside the chunk, and send
-the first occurrences, sorted and cut into hash ranges (buckets), as packed arrays.
+the first occurrences as packed sorted arrays, one for each bucket. A window's bucket
+follows from the least hash among its word 8-grams, which neighbouring windows mostly
+share: equal windows meet, and a repeated passage comes back in few rows.
 For each bucket one task merge-joins the batch with the sorted, immutable runs of
 earlier batches, confirms each hit with an independent second hash, and writes the
 batch's new fingerprints as one more sorted run. When ``fanout`` runs have gathered,
@@ -26,8 +28,10 @@ from .store import file_system, put, release, remove, save, shared_dir
 WIDTH = 20
 BATCHES = 4
 FANOUT = 3
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 6 << 20
 BUCKET_WINDOWS = 4_000_000
+LEAST_BUCKETS = 64
+_ANCHOR = 8
 _NO_ID = -(1 << 63)
 
 _SENT = "bucket int, doc_id long, n int, hashes binary, checks binary, locs binary, docs binary, firsts binary"
@@ -67,7 +71,19 @@ def _hashed(table: pa.Table, width: int):
     at = np.flatnonzero(A.window_mask(first, width))
     hashes = A.window_hash(h, width)[at]
     checks = (A.window_hash(h, width, seed=1)[at] & np.uint64(0xFFFF)).astype(np.uint16)
-    return ids[order], first, hashes, checks, at
+    grams = A.mix(_least(A.window_hash(h, min(_ANCHOR, width), seed=2), max(1, width - _ANCHOR + 1))[at])
+    return ids[order], first, hashes, checks, grams, at
+
+
+def _least(x: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of each run of ``width`` values, by doubling."""
+    n, size = len(x) - width + 1, 1
+    if n <= 0:
+        return np.empty(0, x.dtype)
+    while size * 2 <= width:
+        x = np.minimum(x[:-size], x[size:])
+        size *= 2
+    return np.minimum(x[:n], x[width - size : width - size + n])
 
 
 def _starts_by_doc(ids: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
@@ -85,10 +101,15 @@ def _send(width: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), *((c, pa.binary()) for c in ("hashes", "checks", "locs", "docs", "firsts"))])
         for table in _chunks(batches):
-            ids, first, hashes, checks, at = _hashed(table, width)
+            ids, first, hashes, checks, grams, at = _hashed(table, width)
+            del table
             if not len(at):
                 continue
             order = np.argsort(hashes)
+            bucket = (grams >> shift).astype(np.uint32) if buckets > 1 else np.zeros(len(grams), np.uint32)
+            if buckets <= 1 << 16:
+                bucket = bucket.astype(np.uint16)
+            del grams
             hs, ck = hashes[order], checks[order]
             loc = at[order]
             runs = A.group_runs(hs)
@@ -109,16 +130,19 @@ def _send(width: int, buckets: int):
                 spread = pa.array((A.mix(hits.column(0).to_numpy().view(np.uint64)) % np.uint64(buckets)).astype(np.int32))
                 yield pa.record_batch([spread, hits.column(0), pa.nulls(n, pa.int32()), empty, empty, hits.column(1), empty, empty], schema=out)
             keep = (order == whose) | ~same
-            hs, ck, loc, doc = hs[keep], ck[keep], loc[keep], doc[keep]
-            bucket = (hs >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(hs), np.int64)
-            edges = np.searchsorted(bucket, np.arange(buckets + 1))
+            bucket = bucket[order][keep]
+            by = np.argsort(bucket, kind="stable")  # ascending hashes within each bucket
+            bucket = bucket[by]
+            hs, ck, loc, doc = (x[keep][by] for x in (hs, ck, loc, doc))
+            present = A.group_runs(bucket)
+            ends = np.append(present[1:], len(bucket))
             rows = []
-            for b in np.flatnonzero(np.diff(edges)):
-                s = slice(edges[b], edges[b + 1])
+            for lo, hi in zip(present.tolist(), ends.tolist(), strict=True):
+                s = slice(lo, hi)
                 there = np.unique(doc[s])
                 planes = np.ascontiguousarray(hs[s].astype("<u8").view(np.uint8).reshape(-1, 8).T)
                 places = np.ascontiguousarray(loc[s].astype("<u4").view(np.uint8).reshape(-1, 4).T)
-                rows.append((int(b), None, int(edges[b + 1] - edges[b]), planes.tobytes(), ck[s].tobytes(), places.tobytes(), ids[there].tobytes(), first[there].astype("<u4").tobytes()))
+                rows.append((int(bucket[lo]), None, hi - lo, planes.tobytes(), ck[s].tobytes(), places.tobytes(), ids[there].tobytes(), first[there].astype("<u4").tobytes()))
             for lo in range(0, len(rows), 64):
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows[lo : lo + 64], strict=True), out, strict=True)], schema=out)
 
@@ -324,7 +348,7 @@ def _plan(docs: DataFrame, batches: int, bucket_windows: int) -> tuple[list, int
     buckets = 1
     while buckets * bucket_windows < windows:
         buckets *= 2
-    return cuts, max(8, buckets)
+    return cuts, max(LEAST_BUCKETS, buckets)
 
 
 def find_repeats(docs: DataFrame, width: int = WIDTH, batches: int = BATCHES, fanout: int = FANOUT, bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
