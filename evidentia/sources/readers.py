@@ -90,7 +90,8 @@ def json_map(spark: SparkSession, path: str, value: str = "string") -> DataFrame
     """(ord, key, value) of a JSON object file; of repeated keys the last counts."""
     text = spark.read.text(path, wholetext=True)
     entries = F.map_entries(F.from_json("value", f"map<string,{value}>"))
-    return text.select(F.posexplode(entries).alias("ord", "entry")).select("ord", "entry.key", "entry.value")
+    rows = text.select(F.posexplode(entries).alias("at", "entry")).select("at", "entry.key", "entry.value")
+    return rows.groupBy("key").agg(F.min("at").alias("ord"), F.max_by("value", "at").alias("value")).select("ord", "key", "value")
 
 
 def id_names(spark: SparkSession, path: str) -> DataFrame:
