@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 
 #: Everything that ends a line: more than "\n".
 LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
-_EDGE_SPACE = r"(?U)^\s+|\s+$"
+#: White space of any kind, as Python's string methods see it.
+_SPACE = r"[\s\x1C-\x1F]"
+_EDGE_SPACE = rf"(?U)^{_SPACE}+|{_SPACE}+\z"
 NONE = "(none)"
 
+# The word dropped from name keys, and the header line of a field.
+DROPPED_WORD = r"\b,?\s*genetic\b"
+HEADER_LINE = r"^\s*#{0,6}\s*%s\s*:?\s*\n+"
+
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
@@ -19,13 +25,13 @@ def strip(c: Column) -> Column:
 def norm_key(c: Column) -> Column:
     """Key for matching names: lower case, the word "genetic" dropped, all but a-z and 0-9 one space. Null gives ''."""
     s = strip(F.lower(F.coalesce(c, F.lit(""))))
-    s = F.regexp_replace(s, r"(?U)\b,?\s*genetic\b", "")
+    s = F.regexp_replace(s, "(?U)" + DROPPED_WORD, "")
     return F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
 
 
 def norm_space_lower(c: Column) -> Column:
     """Lower case with white space squeezed."""
-    return F.lower(strip(F.regexp_replace(c, r"(?U)\s+", " ")))
+    return F.lower(strip(F.regexp_replace(c, f"(?U){_SPACE}+", " ")))
 
 
 def label_int(c: Column, kind: str) -> Column:
@@ -49,7 +55,7 @@ def clean_field(c: Column, header: str | None = None) -> Column:
     """Blank edge lines, an optional leading ``### <header>:`` line and leading blanks removed. Null gives ''."""
     s = _trim_blank_lines(F.coalesce(c, F.lit("")))
     if header:
-        s = _trim_blank_lines(F.regexp_replace(s, rf"(?iU)^\s*#{{0,6}}\s*{header}\s*:?\s*\n+", ""))
+        s = _trim_blank_lines(F.regexp_replace(s, "(?iU)" + HEADER_LINE % header, ""))
     else:
         s = _trim_blank_lines(s)
     return F.regexp_replace(F.regexp_replace(s, r"^[ \t]+", ""), r"\r+\z", "")

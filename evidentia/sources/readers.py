@@ -18,7 +18,9 @@ from ..functions.text import strip
 #: Texts that stand for a missing value, as common CSV readers take them.
 NULLS = ("", "NA", "N/A", "null", "NULL", "None", "nan", "NaN")
 
-EDGES = "x_index string, x_name string, relation string, y_index string, y_name string"
+# Where the JSON-like format lacks a comma, and where it has one too many.
+MISSING_COMMA = r"\}\s*(?=\"[^\"]+\"\s*:)"
+EXTRA_COMMA = r",\s*([}\]])"
 
 
 def edge_table(spark: SparkSession, path: str, columns: Iterable[str] | None = None) -> DataFrame:
@@ -109,8 +111,8 @@ def repaired(text: Column) -> Column:
     """JSON-like text made JSON: outer braces, commas between blocks, none before a closing bracket."""
     t = strip(text)
     t = F.when(t.startswith("{"), t).otherwise(F.concat(F.lit("{\n"), t, F.lit("\n}")))
-    t = F.regexp_replace(t, r"\}\s*(?=\"[^\"]+\"\s*:)", "},\n")
-    return F.regexp_replace(t, r",\s*([}\]])", "$1")
+    t = F.regexp_replace(t, MISSING_COMMA, "},\n")
+    return F.regexp_replace(t, EXTRA_COMMA, "$1")
 
 
 _RELEVANCE = "map<string,map<string,struct<name:string,reason:string>>>"

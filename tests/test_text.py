@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -21,16 +22,17 @@ def last_line(t):
 
 
 def strict(t):
-    line = last_line(t)
-    found = re.search(r"\b(yes|true)\b|\b(no|false)\b", re.sub(r"^[>\s`*_~\"'()\-–—]+", "", line), re.I) if line else None
-    # trailing wrappers hold no word characters but the underscore
-    line = re.sub(r"[\s`*_~\"'()\-–—.!?]+$", "", re.sub(r"^[>\s`*_~\"'()\-–—]+", "", line)) if line else ""
-    found = re.search(r"\b(?:(yes|true)|(no|false))\b", line, re.I)
-    return None if not found else "Yes" if found[1] else "No"
+    line, wrap = last_line(t) or "", set(">`*_~\"'()-–—")
+    while line and (line[0] in wrap or line[0].isspace()):
+        line = line[1:]
+    while line and (line[-1] in wrap - {">"} | set(".!?") or line[-1].isspace()):
+        line = line[:-1]
+    said = [w.lower() for w in re.findall(r"\w+", line)]
+    return next(("Yes" if w in ("yes", "true") else "No" for w in said if w in ("yes", "no", "true", "false")), None)
 
 
 def norm(t):
-    return " ".join(re.sub(r"[^a-z0-9]+", " ", re.sub(r"\b,?\s*genetic\b", "", t.lower().strip())).split())
+    return " ".join(re.findall("[a-z0-9]+", re.sub(text.DROPPED_WORD, "", t.lower().strip())))
 
 
 def anywhere(t):
@@ -39,7 +41,7 @@ def anywhere(t):
     return first[1].title() if first else every[-1].title() if every else None
 
 
-@settings(max_examples=6, deadline=None)
+@settings(max_examples=4, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(PIECES), max_size=12).map("".join), min_size=40, max_size=60))
 def test_readers_agree_with_plain_python(spark, values):
     v = F.col("v")
@@ -57,7 +59,7 @@ def test_conclusions(spark):
     v = F.col("v")
     got = run(spark, cases, s=conclusions.strict(v), e=conclusions.exact(v), t=conclusions.exact_truth(v), a=conclusions.anywhere(v), b=conclusions.anywhere_truth(v))
     assert [g[0] for g in got] == ["Yes", "No", "Yes", "No", None, None, "Yes", None, "No", "No", "Yes", None, "Yes"]
-    assert [g[1] for g in got] == ["Yes", "No", None, "No", None, None, None, None, None, None, "Yes", None, None]
+    assert [g[1] for g in got] == ["Yes", "No", None, None, None, None, None, None, None, None, "Yes", None, None]
     assert [g[2] for g in got] == [None, None, 1, None, None, None, None, None, 0, None, None, None, 1]
     assert [g[3] for g in got] == ["Yes", "No", None, "No", None, None, "No", "Yes", None, "No", "No", None, None]
     assert [g[4] for g in got] == [None, None, 1, None, None, None, None, None, 0, None, None, None, 1]
@@ -97,7 +99,7 @@ def test_vectors(spark):
         vectors.dot(a(1.0, 2.0), a(3.0, 4.0)), vectors.unit(a(3.0, 4.0)), vectors.unit(a(0.0, 0.0)), vectors.softmax(a(1000.0, 1000.0)), vectors.yes_probability(F.lit(0.3), F.lit(0.1)), vectors.yes_probability(F.lit(None).cast("double"), F.lit(None).cast("double")),
         vectors.last_position(a(1, 2, 1, 2, 3), a(1, 2)), vectors.last_position(a(1), a(1, 2)), vectors.last_position(a(1, 2), F.array().cast("array<int>")),
     ).first()
-    assert tuple(row)[:4] == (11.0, [0.6000000000000001, 0.8], [0.0, 0.0], [0.5, 0.5])
+    assert row[0] == 11.0 and row[1] == pytest.approx([0.6, 0.8]) and row[2:4] == ([0.0, 0.0], [0.5, 0.5])
     assert abs(row[4] - 0.75) < 1e-12 and tuple(row)[5:] == (0.5, 2, None, None)
 
 
