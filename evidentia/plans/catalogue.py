@@ -583,7 +583,7 @@ def path_stats(spark, d):
     return rounded(graph.path_statistics(paths, patients.crossJoin(F.broadcast(region)).select("patient", "disease")))
 
 
-@query("SELECT c_mktsegment AS seg, row_number() OVER (PARTITION BY c_mktsegment ORDER BY at, c_nationkey) AS pos, CAST(c_nationkey AS BIGINT) AS nation FROM (SELECT c_mktsegment, c_nationkey, min(c_custkey) AS at FROM customer GROUP BY 1, 2)")
+@query("SELECT c_mktsegment AS seg, row_number() OVER (PARTITION BY c_mktsegment ORDER BY first_at, c_nationkey) AS pos, CAST(c_nationkey AS BIGINT) AS nation FROM (SELECT c_mktsegment, c_nationkey, min(c_custkey) AS first_at FROM customer GROUP BY 1, 2)")
 def distinct_in_order(spark, d):
     rows = I.table(spark, d, "customer").select(F.col("c_mktsegment").alias("seg"), F.col("c_nationkey").alias("nation"), "c_custkey")
     return long(graph.distinct_in_order(rows, "seg", "nation", "c_custkey"))
@@ -638,10 +638,10 @@ def resolve_target(spark, d):
     return linking.resolve_targets(I.inline(spark, _TERMS, "term string"), _nodes(spark, d), I.inline(spark, _NEAR, "term string, node string, rank int, similarity double"))
 
 
-@query(f"""WITH {_NODES}, {_T}, {_S}, {_DIRECT}, m AS (SELECT term, node, printf('similar(score=%.3f)', similarity) AS why, 0 AS kind, rank AS at FROM sim WHERE term NOT IN (SELECT term FROM direct)
+@query(f"""WITH {_NODES}, {_T}, {_S}, {_DIRECT}, m AS (SELECT term, node, printf('similar(score=%.3f)', similarity) AS why, 0 AS kind, rank AS place FROM sim WHERE term NOT IN (SELECT term FROM direct)
     UNION ALL SELECT term, name, 'prefix_match', 1, ord FROM t JOIN nodes ON starts_with(lower(name), lower(term) || ' ') OR starts_with(lower(name), lower(term) || ',') WHERE term NOT IN (SELECT term FROM direct)),
-    f AS (SELECT term, node, arg_min(why, kind * 1000000 + at) AS why, min(kind * 1000000 + at) AS at FROM m GROUP BY term, node)
-    SELECT term, row_number() OVER (PARTITION BY term ORDER BY at) AS pos, node, why FROM (SELECT * FROM f UNION ALL SELECT term, node, why, 1 FROM direct)""")
+    f AS (SELECT term, node, arg_min(why, kind * 1000000 + place) AS why, min(kind * 1000000 + place) AS place FROM m GROUP BY term, node)
+    SELECT term, row_number() OVER (PARTITION BY term ORDER BY place) AS pos, node, why FROM (SELECT * FROM f UNION ALL SELECT term, node, why, 1 FROM direct)""")
 def expand_source(spark, d):
     return long(linking.expand_sources(I.inline(spark, _TERMS, "term string"), _nodes(spark, d), I.inline(spark, _NEAR, "term string, node string, rank int, similarity double")))
 
