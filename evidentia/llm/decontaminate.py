@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
+from .store import bounded
 
 #: Fixed masks, each of 8 marked positions over 12 tokens.
 MASKS = ("111011001011", "110100110111", "101101110101", "111100011101")
@@ -147,7 +148,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     letters and digits, lower-cased. Null or empty texts meet nothing; an empty benchmark
     gives no rows; repeated rows give a row each; a null item_id comes out as -1.
     """
-    rows, out = docs.select("doc_id", F.lower("text").alias("text")), None
+    rows, out = bounded(docs).select("doc_id", F.lower("text").alias("text")), None
     for items in blocks(benchmark):
         got = rows.mapInArrow(_find(items), "doc_id long, item_id long, n_matched long, n_span long, doc_start long, item_start long, overlap double")
         out = got if out is None else out.unionByName(got)
@@ -169,7 +170,7 @@ def _keep(items: Items):
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows, all columns, that overlap no test item."""
-    rows = docs.withColumn("__lower", F.lower("text"))
+    rows = bounded(docs).withColumn("__lower", F.lower("text"))
     for items in blocks(benchmark):
         rows = rows.mapInArrow(_keep(items), rows.schema)
     return rows.drop("__lower")

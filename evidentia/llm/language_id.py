@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import arrays as A
+from .store import bounded
 
 #: Bound on training documents of one language, and on their length in characters.
 SAMPLE = 200
@@ -221,5 +222,5 @@ def identify(docs: DataFrame, net: Network) -> DataFrame:
     Null text, or text without a letter: ``und`` with score 0. So is every text if no
     language was learned. Repeated rows each get their own row; extra columns are ignored.
     """
-    rows = docs.select("doc_id", "text").mapInArrow(_label(net), "doc_id long, lang_pred string, score double")
+    rows = bounded(docs).select("doc_id", "text").mapInArrow(_label(net), "doc_id long, lang_pred string, score double")
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

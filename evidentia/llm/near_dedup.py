@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 from .components import components
-from .store import checked, release, save, shared_dir
+from .store import bounded, checked, release, remove, save, shared_dir
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -276,7 +276,7 @@ def groups(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows:
     """
     spark = docs.sparkSession
     root = shared_dir(spark, "neardup")
-    docs = docs.select("doc_id", "text")
+    docs = bounded(docs).select("doc_id", "text")
     cells, n = document_frequencies(docs)
     idf = spark.sparkContext.broadcast(idf_table(cells, n))
     signed = save(docs.where("doc_id IS NOT NULL").mapInArrow(_sign(idf, bands, rows), "doc_id long, class binary, keys array<long>, order long"), f"{root}/signed")
@@ -286,6 +286,8 @@ def groups(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows:
     release()
     found = save(links(docs, pairs, idf, least), f"{root}/links")
     release()
+    for spent in ("members", "shared", "pairs"):
+        remove(spark, f"{root}/{spent}")
     labels = components(found, f"{root}/components")
     degree = found.select(F.col("a").alias("v")).unionByName(found.select(F.col("b").alias("v"))).groupBy("v").agg(F.count(F.lit(1)).alias("n_links"))
     known = classes.select("class", F.col("id").alias("v")).join(labels, "v", "left").join(degree, "v", "left").select("class", F.col("v").alias("class_id"), F.coalesce("label", "v").alias("group_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))

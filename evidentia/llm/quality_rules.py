@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .store import checked
+from .store import bounded, checked
 
 BITS = 16
 SMOOTH = 1.0
@@ -69,7 +69,7 @@ def ratios(docs: DataFrame, trusted: DataFrame, bits: int = BITS, smooth: float
     ``trusted``: one column doc_id, the target documents. The result has 2**bits values.
     """
     flags = trusted.select(F.col(trusted.columns[0]).alias("__t")).where("__t IS NOT NULL").distinct().withColumn("__trusted", F.lit(True))
-    rows = docs.select("doc_id", "text").join(checked(flags), F.col("doc_id") == F.col("__t"), "left").select("text", "__trusted")
+    rows = bounded(docs).select("doc_id", "text").join(checked(flags), F.col("doc_id") == F.col("__t"), "left").select("text", "__trusted")
     counts = rows.mapInArrow(_count(bits), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(1 << bits), np.zeros(1 << bits)
     raw[counts["bucket"]], target[counts["bucket"]] = counts["raw"], counts["target"]

@@ -12,6 +12,17 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only up to this many (narrow) rows; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
+#: Bounds of the Arrow batches that go to Python.
+ARROW_ROWS = 2000
+ARROW_BYTES = "8m"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The table, once the session's Arrow batches are bounded in bytes: texts may be long, and Python workers small."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")), ARROW_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    return df
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import arrays as A
-from .store import file_system, put, shared_dir
+from .store import bounded, file_system, put, shared_dir
 from .wordcache import WordCache
 
 END_ID = 1
@@ -175,7 +175,7 @@ def _write(root: str, path: str, end_id: int, length: int):
         def data(out):
             with pa.ipc.new_file(out, schema) as w:
                 to = _Sequences(w, schema, enc.dtype, length)
-                for piece, buf, off in A.blocks(batches, "text"):
+                for piece, buf, off in A.blocks(batches, "text", 2 << 20):
                     ids, n = enc.encode(buf, off, end_id)
                     to.add(ids)
                     at = done[0] + np.cumsum(n) - n
@@ -204,7 +204,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, root: str, end_id: int =
     """
     if length % 8:
         raise ValueError("length must be a multiple of 8")
-    rows = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = bounded(docs).select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     got = sorted(tuple(r) for r in rows.mapInArrow(_write(root, tokenizer_path, end_id, length), "shard long, n_tokens long").collect())
     out, start = [], 0
     for shard, n in got:

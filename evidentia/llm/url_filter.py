@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
+from .store import bounded
 
 BITS = 15
 NGRAMS = (3, 4, 5)
@@ -153,5 +154,5 @@ def judge(pages: DataFrame, model: Regression, rules=RULES) -> DataFrame:
     these. Repeated rows each get their own row; extra columns are ignored.
     """
     host, path = parts(F.col("url"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
+    rows = bounded(pages).select("page_id", host.alias("host"), path.alias("path"))
     return rows.mapInArrow(_judge(model, Rules(rules)), "page_id long, host string, path string, rule string, verdict string, score double")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import checked, file_system, put, shared_dir
+from .store import bounded, checked, file_system, put, shared_dir
 
 DATE = "2024-01-01T00:00:00Z"
 #: Payloads of fewer bytes are never deduplicated.
@@ -96,7 +96,7 @@ def write(pages: DataFrame, root: str, min_bytes: int = MIN_BYTES) -> list[int]:
     empty payload; a page without an id revisits one with an id, and is a response
     where no page of its payload has one. Rows that repeat the smallest id are responses.
     """
-    rows = pages.select("page_id", "url", "html", F.sha1(F.coalesce(F.col("html"), F.lit(""))).alias("__sha"))
+    rows = bounded(pages).select("page_id", "url", "html", F.sha1(F.coalesce(F.col("html"), F.lit(""))).alias("__sha"))
     large = F.octet_length(F.coalesce(F.col("html"), F.lit(""))) >= min_bytes
     firsts = (
         rows.where(large).groupBy(F.col("__sha").alias("__first_sha"))
