@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
+from .store import bounded
 
 #: Bound on labelled documents that training sees.
 SAMPLE = 2500
@@ -147,10 +148,10 @@ def _score(model: Model, keep: bool):
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted of every row. Null text scores as empty: the bias alone."""
-    rows = docs.select("doc_id", "text").mapInArrow(_score(model, False), "doc_id long, score double, predicted int")
+    rows = bounded(docs).select("doc_id", "text").mapInArrow(_score(model, False), "doc_id long, score double, predicted int")
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """The rows, all columns, that the model does not reject."""
-    return docs.mapInArrow(_score(model, True), docs.schema)
+    return bounded(docs).mapInArrow(_score(model, True), docs.schema)

@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .store import file_system, put, release, remove, save, shared_dir
+from .store import bounded, file_system, put, release, remove, save, shared_dir
 
 WIDTH = 20
 BATCHES = 4
 FANOUT = 3
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 3 << 20
 BUCKET_WINDOWS = 4_000_000
 LEAST_BUCKETS = 64
 _ANCHOR = 8
@@ -355,7 +355,7 @@ def find_repeats(docs: DataFrame, width: int = WIDTH, batches: int = BATCHES, fa
     """Rows (doc_id, starts) of all windows that also start earlier, by incremental batches."""
     spark = docs.sparkSession
     root = shared_dir(spark, "fingerprints")
-    docs = docs.select("doc_id", "text")
+    docs = bounded(docs).select("doc_id", "text")
     cuts, buckets = _plan(docs, batches, bucket_windows)
     index = FingerprintIndex(spark, f"{root}/index", buckets, width, fanout)
     edges = [None, *cuts, None]
