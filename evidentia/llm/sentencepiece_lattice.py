@@ -13,6 +13,7 @@ of their own become byte pieces, the mark's own character too, so decoding is lo
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -20,15 +21,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import arrays as A
+from .store import bounded
 
 #: Weight of a piece is (rank + OFFSET) ** -SHARPNESS, by rank in the vocabulary: a merge model's scores are ranks.
 OFFSET = 10.0
 SHARPNESS = 1.0
 #: Units over so many bytes are filtered one at a time.
-LONG_UNIT = 64
+LONG_UNIT = 62
 _MARK = "▁"
 
 
@@ -102,17 +103,17 @@ class Lattice:
         n = ends - starts
         self.begin = np.cumsum(n + 1) - (n + 1)
         self.end = self.begin + n
-        total = int((n + 1).sum())
-        unit = np.repeat(np.arange(len(n)), n)
-        place = np.arange(len(unit)) - np.repeat(np.cumsum(n) - n, n)
+        total, most = int((n + 1).sum()), int(n.max())
+        unit = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        place = (np.arange(len(unit)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
         text = buf[starts[unit] + place]
-        node, left = self.begin[unit] + place, (n[unit] - place).astype(np.int64)
+        node, left = (self.begin[unit] + place).astype(np.int32), (n[unit] - place).astype(np.int32)
+        del unit
         inner = (text & 0xC0) == 0x80  # not at a character's start
         closed = np.ones(len(text) + 1, bool)
         closed[:-1] = ~inner
         p = A.powers(0)
-        sums = np.zeros(len(text) + 1, np.uint64)
-        source, target, piece = [], [], []
+        where, length, piece = [], [], []
         seg = A.SEGMENT // 2
         lone = np.zeros(len(text), bool)
         for lo in range(0, len(text), seg):
@@ -121,53 +122,58 @@ class Lattice:
             part = text[lo:hi]
             sums = np.zeros(len(part) + 1, np.uint64)
             np.cumsum(p.byte[part] * p.up[: len(part)], out=sums[1:])
-            for size in range(1, min(vocabulary.longest, int(n.max())) + 1):
+            for size in range(1, min(vocabulary.longest, most) + 1):
                 at0 = at0[left[lo + at0] >= size]
                 at = at0[closed[lo + at0 + size] | (left[lo + at0] == size)]
                 if not len(at):
                     continue
                 ids = vocabulary.find(A.mix((sums[at + size] - sums[at]) * p.down[at] + np.uint64(size)))
                 ok = ids >= 0
-                got = lo + at[ok]
-                source.append(node[got])
-                target.append(node[got] + size)
-                piece.append(ids[ok])
+                got = (lo + at[ok]).astype(np.int32)
+                where.append(got)
+                length.append(np.full(len(got), size, np.uint8))
+                piece.append(ids[ok].astype(np.int32))
                 width = np.where(text[got] < 0x80, 1, np.where(text[got] < 0xE0, 2, np.where(text[got] < 0xF0, 3, 4)))
                 lone[got[width == size]] = True
         # byte pieces for each character that is no piece itself
         first = np.maximum.accumulate(np.where(inner, 0, np.arange(len(text))))
-        raw = ~lone[first]
-        source.append(node[raw])
-        target.append(node[raw] + 1)
-        piece.append(vocabulary.byte_id[text[raw]])
-        source, target, piece = np.concatenate(source), np.concatenate(target), np.concatenate(piece)
-        rel = np.zeros(total, np.int64)
-        rel[target] = target - self.begin[np.searchsorted(self.begin, target, "right") - 1]
-        order = np.lexsort((source, target, rel[target]))
-        source, target, piece, depth = source[order], target[order], piece[order], rel[target][order]
+        raw = np.flatnonzero(~lone[first]).astype(np.int32)
+        where.append(raw)
+        length.append(np.ones(len(raw), np.uint8))
+        piece.append(vocabulary.byte_id[text[raw]].astype(np.int32))
+        where, length, piece = np.concatenate(where), np.concatenate(length), np.concatenate(piece)
+        # by the node an edge enters, longer pieces first
+        order = np.argsort((node[where] + length.astype(np.int64)) << 6 | (63 - length))
+        where, length, self.piece = where[order], length[order], piece[order]
+        self.source = node[where]
+        target = self.source + length
+        depth = (place[where] + length).astype(np.uint8)
+        del where, length, piece, node, place, left
         reach = np.full(total, -np.inf)
         reach[self.begin] = 0.0
-        weight = np.empty(len(source))
-        cuts = np.searchsorted(depth, np.arange(1, int(n.max()) + 2))
+        weight = np.empty(len(target))
+        score = vocabulary.weight[self.piece]
+        level = np.argsort(depth, kind="stable")
+        cuts = np.searchsorted(depth[level], np.arange(1, most + 2))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if a == b:
                 continue
-            w = reach[source[a:b]] + vocabulary.weight[piece[a:b]]
-            runs = A.group_runs(target[a:b])
+            at = level[a:b]
+            to = target[at]
+            w = reach[self.source[at]] + score[at]
+            runs = A.group_runs(to)
             size = np.diff(np.append(runs, b - a))
             top = np.maximum.reduceat(w, runs)
             top = np.where(np.isfinite(top), top, 0.0)
             with np.errstate(divide="ignore"):
                 value = top + np.log(np.add.reduceat(np.exp(w - np.repeat(top, size)), runs))
-            reach[target[a:b][runs]] = value
+            reach[to[runs]] = value
             with np.errstate(invalid="ignore"):
-                weight[a:b] = np.where(np.isfinite(w), np.exp(w - np.repeat(value, size)), 0.0)
-        order = np.lexsort((source, target))
-        self.source, self.piece, target = source[order], piece[order], target[order]
+                weight[at] = np.where(np.isfinite(w), np.exp(w - np.repeat(value, size)), 0.0)
         runs = A.group_runs(target)
-        share = np.cumsum(weight[order])
+        share = np.cumsum(weight)
         size = np.diff(np.append(runs, len(target)))
-        before = np.repeat(share[runs] - weight[order][runs], size)
+        before = np.repeat(share[runs] - weight[runs], size)
         self.key = target + np.minimum(share - before, 1.0)
         self.low, self.high = np.zeros(total, np.int64), np.zeros(total, np.int64)
         self.low[target[runs]] = runs
@@ -292,32 +298,58 @@ def decode_block(vocabulary: Pieces, ids: np.ndarray, counts: np.ndarray) -> tup
     return data, np.concatenate(([0], np.cumsum(size)))
 
 
-def _encode(path: str, seed: int):
+def _ids(vocabulary: Pieces, piece: pa.RecordBatch, buf: np.ndarray, off: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    key = piece.column(piece.schema.get_field_index("doc_id")).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+    rows = A.mix(key.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+    return encode_block(vocabulary, buf, off, rows)
+
+
+def _unless(nulls: pa.Array, values: pa.Array) -> pa.Array:
+    return pa.compute.if_else(nulls, pa.nulls(len(nulls), values.type), values) if nulls.true_count else values
+
+
+def _lists(ids: np.ndarray, n: np.ndarray, nulls: pa.Array) -> pa.Array:
+    return _unless(nulls, pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(ids, pa.int32())))
+
+
+def _texts(data: np.ndarray, off: np.ndarray, nulls: pa.Array) -> pa.Array:
+    raw = pa.Array.from_buffers(pa.large_string(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+    return _unless(nulls, raw.cast(pa.string()))
+
+
+def _encode(path: str, seed: int, back: bool = False):
+    """back: decodes the ids again in the same pass."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pieces(path)
         for piece, buf, off in A.blocks(batches, "text"):
-            key = piece.column(piece.schema.get_field_index("doc_id")).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
-            rows = A.mix(key.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
-            ids, n = encode_block(vocabulary, buf, off, rows)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(ids, pa.int32()))
+            ids, n = _ids(vocabulary, piece, buf, off, seed)
             nulls = piece.column(piece.schema.get_field_index("text")).is_null()
-            if nulls.true_count:
-                lists = pa.compute.if_else(nulls, pa.nulls(len(n), lists.type), lists)
-            yield pa.record_batch([*piece.columns, lists], names=[*piece.schema.names, "__ids"])
+            more = [_texts(*decode_block(vocabulary, ids, n), nulls)] if back else []
+            yield pa.record_batch([*piece.columns, _lists(ids, n, nulls), *more], names=[*piece.schema.names, "__ids", *(["__text"] if back else [])])
 
     return run
 
 
+def _schema(rows: DataFrame, more: str):
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    return StructType([*rows.schema.fields, *_parse_datatype_string(more).fields])
+
+
 def encode(docs: DataFrame, model_path: str, column: str = "ids", seed: int = 0) -> DataFrame:
     """All columns and ``column``, the sampled piece ids of ``text`` as an array of int.
 
     The row key is doc_id (null: -1); repeated rows get the same ids. Null text gives null,
     empty text an empty array. A column already called ``column`` is replaced.
     """
-    schema = "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in docs.schema) + ",`__ids`:array<int>>"
-    from pyspark.sql.types import _parse_datatype_string
+    return bounded(docs).mapInArrow(_encode(model_path, seed), _schema(docs, "__ids array<int>")).drop(column).withColumnRenamed("__ids", column)
+
 
-    return docs.mapInArrow(_encode(model_path, seed), _parse_datatype_string(schema)).drop(column).withColumnRenamed("__ids", column)
+def recode(docs: DataFrame, model_path: str, column: str = "ids", text: str = "decoded", seed: int = 0) -> DataFrame:
+    """As :func:`encode` and then :func:`decode`, in one pass."""
+    rows = bounded(docs).mapInArrow(_encode(model_path, seed, True), _schema(docs, "__ids array<int>, __text string"))
+    return rows.drop(column, text).withColumnsRenamed({"__ids": column, "__text": text})
 
 
 def _decode(path: str, column: str):
@@ -328,10 +360,7 @@ def _decode(path: str, column: str):
                 batch = whole.slice(lo, 256)
                 lists = batch.column(batch.schema.get_field_index(column))
                 n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                data, off = decode_block(vocabulary, lists.flatten().to_numpy(zero_copy_only=False), n)
-                text = pa.Array.from_buffers(pa.large_string(), len(n), [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.string())
-                if lists.null_count:
-                    text = pa.compute.if_else(lists.is_null(), pa.nulls(len(n), pa.string()), text)
+                text = _texts(*decode_block(vocabulary, lists.flatten().to_numpy(zero_copy_only=False), n), lists.is_null())
                 yield pa.record_batch([*batch.columns, text], names=[*batch.schema.names, "__text"])
 
     return run
@@ -339,21 +368,27 @@ def _decode(path: str, column: str):
 
 def decode(rows: DataFrame, model_path: str, column: str = "ids", text: str = "decoded") -> DataFrame:
     """All columns and ``text``, the text that the ids stand for. Null ids give null."""
-    from pyspark.sql.types import _parse_datatype_string
+    return bounded(rows).mapInArrow(_decode(model_path, column), _schema(rows, "__text string")).drop(text).withColumnRenamed("__text", text)
 
-    schema = "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in rows.schema) + ",`__text`:string>"
-    return rows.mapInArrow(_decode(model_path, column), _parse_datatype_string(schema)).drop(text).withColumnRenamed("__text", text)
 
+def _digest(path: str, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = pieces(path)
+        for piece, buf, off in A.blocks(batches, "text"):
+            ids, n = _ids(vocabulary, piece, buf, off, seed)
+            data, edges = decode_block(vocabulary, ids, n)
+            wide, ends = ids.astype("<u4"), np.cumsum(n)
+            crc = [zlib.crc32(wide[e - k : e].tobytes()) for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
+            got, was = data.tobytes(), buf.tobytes()
+            back = [got[edges[k] : edges[k + 1]] for k in range(len(n))]
+            same = [back[k] == was[off[k] : off[k + 1]] for k in range(len(n))]
+            sha = _unless(piece.column(1).is_null(), pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string()))
+            yield pa.record_batch([piece.column(0), pa.array(n), pa.array(crc, pa.int64()), pa.array(same), sha], names=["doc_id", "n_pieces", "ids_crc32", "lossless", "decoded_sha256"])
 
-def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = batch.column(1)
-        values = [zlib.crc32(x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()) if x.is_valid else 0 for x in lists]
-        yield pa.record_batch([batch.column(0), pa.array(lists.value_lengths().fill_null(0), pa.int64()), pa.array(values, pa.int64()), batch.column(2), batch.column(3)], names=["doc_id", "n_pieces", "ids_crc32", "lossless", "decoded_sha256"])
+    return run
 
 
 def round_trip(docs: DataFrame, model_path: str, seed: int = 0) -> DataFrame:
-    """doc_id, n_pieces, CRC-32 of the ids as uint32, whether decoding gives the text back, and its SHA-256."""
-    rows = decode(encode(docs.select("doc_id", "text"), model_path, "ids", seed), model_path)
-    rows = rows.select("doc_id", "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"), F.sha2("decoded", 256).alias("sha"))
-    return rows.mapInArrow(_crc, "doc_id long, n_pieces long, ids_crc32 long, lossless boolean, decoded_sha256 string")
+    """doc_id, n_pieces, CRC-32 of the ids as uint32, whether decoding gives the text back, and its SHA-256 (null for null)."""
+    rows = bounded(docs).select("doc_id", "text")
+    return rows.mapInArrow(_digest(model_path, seed), "doc_id long, n_pieces long, ids_crc32 long, lossless boolean, decoded_sha256 string")
