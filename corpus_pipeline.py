@@ -41,7 +41,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled pieces of each text and the text decoded from them."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    rows = sentencepiece_lattice.decode(sentencepiece_lattice.encode(docs.select("doc_id", "lang", "source", "text"), model), model)
+    rows = sentencepiece_lattice.recode(docs.select("doc_id", "lang", "source", "text"), model)
     return rows.select("doc_id", "lang", "source", F.col("decoded").alias("text"), "ids", F.size("ids").cast("long").alias("n_pieces"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
 
 
