@@ -7,10 +7,11 @@ whose size does not grow with them; a shingle has the same weight everywhere. Ea
 two documents agree with probability equal to their weighted Jaccard similarity.
 
 Exact copies (equal word sequences) collapse to a class first. Classes that agree in a
-band are candidates: all pairs in small buckets; in larger ones each member against two
-pivots and against its neighbours in an order by further samples, which is linear in
-the bucket. Candidates are verified by weighted Jaccard similarity, and groups are the
-connected components of what remains.
+band are candidates: all pairs in small buckets; in larger ones first each member against
+two pivots and against its neighbours in an order by further samples, which is linear in
+the bucket. Candidates are verified by weighted Jaccard similarity. Members of a large
+bucket that this leaves in several components are then compared exactly, all pairs
+across components, so groups are the connected components over all candidates.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ ORDER_ROWS = 2
 #: Buckets of up to so many classes give all pairs.
 SMALL = 16
 NEIGHBOURS = 3
+#: Members of an open bucket that a task holds on either side.
+BLOCK = 256
 #: How far document frequency spreads weights: idf lies between 1 and 1 + GAIN.
 GAIN = 0.25
 SKETCH_BITS = 19
@@ -195,8 +198,8 @@ def _neighbours(width: int):
     return run
 
 
-def candidates(classes: DataFrame, root: str) -> DataFrame:
-    """Distinct pairs a < b of class ids that share a band's bucket."""
+def candidates(classes: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """Members of shared buckets, and distinct pairs a < b of class ids: all of small buckets, the first to look at of large ones."""
     members = save(classes.select(F.col("id"), F.explode("keys").alias("key"), "order"), f"{root}/members")
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("p1"), F.min_by("id", F.xxhash64("id", "key")).alias("p2")).where("n > 1")
     shared = save(members.join(sizes, "key"), f"{root}/shared")
@@ -206,7 +209,7 @@ def candidates(classes: DataFrame, root: str) -> DataFrame:
     pivots = large.select("id", F.explode(F.array("p1", "p2")).alias("p")).where("id <> p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
     near = large.select("key", "id", "order").repartitionByRange("key", "order", "id").sortWithinPartitions("key", "order", "id").select("key", "id").mapInArrow(_neighbours(NEIGHBOURS), "a long, b long")
     near = near.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.unionByName(pivots).unionByName(near).distinct()
+    return shared, pairs.unionByName(pivots).unionByName(near).distinct()
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -253,23 +256,105 @@ def _verify(idf, least: float):
     return run
 
 
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (id, packed) of the documents in ``wanted`` (id)."""
+    rows = docs.select(F.col("doc_id").alias("id"), "text")
+    # repeated doc_ids: one text speaks for the document
+    return rows.join(checked(wanted), "id", "left_semi").mapInArrow(_pack, "id long, packed binary").groupBy("id").agg(F.min("packed").alias("packed"))
+
+
 def links(docs: DataFrame, pairs: DataFrame, idf, least: float) -> DataFrame:
     """The candidate pairs whose weighted Jaccard similarity is at least ``least``."""
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    rows = docs.select(F.col("doc_id").alias("id"), "text")
-    # repeated doc_ids: one text speaks for the document
-    texts = rows.join(checked(wanted), "id", "left_semi").mapInArrow(_pack, "id long, packed binary").groupBy("id").agg(F.min("packed").alias("packed"))
+    texts = _texts(docs, wanted)
     one = pairs.join(texts.select(F.col("id").alias("b"), F.col("packed").alias("y")), "b")
     two = one.join(texts.select(F.col("id").alias("a"), F.col("packed").alias("x")), "a")
     return two.select("a", "b", "x", "y").mapInArrow(_verify(idf, least), "a long, b long, similarity double")
 
 
+def _across(idf, least: float):
+    """Links of a block of a bucket's rest with a chunk of its members, one for each two components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        import zstandard
+
+        weigh, z = idf.value, zstandard.ZstdDecompressor()
+        table = table.sort_by([("id", "ascending"), ("side", "ascending")])
+        side, rest, ids = (table[c].to_numpy() for c in ("side", "rest", "id"))
+        root = np.unique(table["label"].to_numpy(), return_inverse=True)[1]
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        out = []
+        if len(left) and len(right):
+            held = {}
+            for k in range(len(ids)):
+                if ids[k] not in held:
+                    buf = np.frombuffer(z.decompress(table["packed"][k].as_py()), np.uint8)
+                    s, e, first = A.find_words(buf, np.array([0, len(buf)]))
+                    h, count, _ = _shingles(A.span_hash(buf, s, e), first)
+                    held[ids[k]] = h, _weights(h, count, weigh).astype(np.float64)
+            keys = np.array(table["keys"].to_pylist(), np.int64)
+            band = keys == table["key"][0].as_py()
+            earlier = ~np.logical_or.accumulate(band, axis=1)
+            vectors = [held[ids[k]] for k in right]
+            owner = np.repeat(np.arange(len(right)), [len(v[0]) for v in vectors])
+            every, place = np.unique(np.concatenate([v[0] for v in vectors]), return_inverse=True)
+            weight, total = np.concatenate([v[1] for v in vectors]), np.array([v[1].sum() for v in vectors])
+            dense = np.zeros(len(every))
+            for k in left.tolist():
+                open_ = root[right] != root[k]
+                open_ &= ~rest[right] | (ids[right] > ids[k])  # pairs within the rest once
+                if open_.any():  # a pair that shares an earlier band is met there
+                    open_ &= ~((keys[right] == keys[k]) & earlier[k]).any(1)
+                if not open_.any():
+                    continue
+                h, w = held[ids[k]]
+                if not len(h) or not len(every):
+                    continue
+                at = np.minimum(np.searchsorted(every, h), len(every) - 1)
+                same = every[at] == h
+                dense[at[same]] = w[same]
+                low = np.bincount(owner, np.minimum(dense[place], weight), len(right))
+                dense[at[same]] = 0
+                for m in np.flatnonzero(open_ & (low >= (least - 1e-9) * (total + w.sum() - low))).tolist():
+                    other = right[m]
+                    if root[other] != root[k] and (j := similarity(held[ids[k]], vectors[m])) >= least:
+                        out.append((*sorted((int(ids[k]), int(ids[other]))), j))
+                        root[root == root[other]] = root[k]
+        x, y, j = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64()), "similarity": pa.array(j, pa.float64())})
+
+    return run
+
+
+def remainder(docs: DataFrame, classes: DataFrame, shared: DataFrame, labels: DataFrame, root: str, idf, least: float) -> DataFrame | None:
+    """Links (a, b, similarity) across components (``labels``) within large buckets; None if no bucket is open.
+
+    All pairs of different components are compared, in blocks; the largest component of
+    a bucket is not compared with itself, so a bucket with few left over costs little.
+    """
+    large = shared.where(F.col("n") > SMALL).select("key", "id").distinct().join(labels.select(F.col("v").alias("id"), "label"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    sizes = large.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    buckets = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("n")).where("labels > 1")
+    parts = lambda c: F.ceil(c / F.lit(BLOCK)).cast("int")
+    buckets = save(buckets.select("key", F.col("most.label").alias("base"), parts(F.col("n") - F.col("most.c")).alias("blocks"), parts(F.col("n")).alias("chunks")), f"{root}/open")
+    if buckets.limit(1).count() == 0:
+        return None
+    rest = F.col("label") != F.col("base")
+    members = save(large.join(checked(buckets), "key").select("key", "id", "label", rest.alias("rest"), "blocks", "chunks"), f"{root}/left")
+    spread = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    rows = members.where("rest").select("*", F.lit(0).alias("side"), spread("blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    rows = rows.unionByName(members.select("*", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), spread("chunks").alias("chunk")))
+    known = _texts(docs, members.select("id").distinct()).join(classes.groupBy("id").agg(F.min("keys").alias("keys")), "id")
+    rows = rows.select("key", "block", "chunk", "side", "rest", "id", "label").join(known, "id")
+    return rows.groupBy("key", "block", "chunk").applyInArrow(_across(idf, least), "a long, b long, similarity double")
+
+
 def groups(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document row: doc_id, class_id, group_id, n_links, kept.
 
     class_id is the smallest doc_id with the same word sequence, group_id the smallest in
     the near-duplicate group, n_links the verified links of the class to others that were
-    looked at, kept whether doc_id is its group's smallest. A null doc_id, and a text
+    looked at (in large buckets not all pairs of one group are), kept whether doc_id is its group's smallest. A null doc_id, and a text
     without a word (null, empty), stand alone, with the own doc_id as class and group.
     Texts of fewer than five words are one shingle. Rows that repeat a doc_id repeat its
     result; if their texts differ, each follows its own class.
@@ -282,13 +367,23 @@ def groups(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows:
     signed = save(docs.where("doc_id IS NOT NULL").mapInArrow(_sign(idf, bands, rows), "doc_id long, class binary, keys array<long>, order long"), f"{root}/signed")
     classes = save(signed.groupBy("class").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("order").alias("order")), f"{root}/classes")
     # two texts of one doc_id may both be the least of their class
-    pairs = save(candidates(classes, root), f"{root}/pairs")
+    shared, pairs = candidates(classes, root)
+    pairs = save(pairs, f"{root}/pairs")
     release()
     found = save(links(docs, pairs, idf, least), f"{root}/links")
     release()
-    for spent in ("members", "shared", "pairs"):
+    for spent in ("members", "pairs"):
         remove(spark, f"{root}/{spent}")
     labels = components(found, f"{root}/components")
+    more = remainder(docs, classes, shared, labels, root, idf, least)
+    if more is not None:
+        more = save(more, f"{root}/more")
+        release()
+        if more.limit(1).count():
+            found = found.unionByName(more.groupBy("a", "b").agg(F.first("similarity").alias("similarity")))
+            labels = components(found, f"{root}/components2")
+    for spent in ("shared", "open", "left"):
+        remove(spark, f"{root}/{spent}")
     degree = found.select(F.col("a").alias("v")).unionByName(found.select(F.col("b").alias("v"))).groupBy("v").agg(F.count(F.lit(1)).alias("n_links"))
     known = classes.select("class", F.col("id").alias("v")).join(labels, "v", "left").join(degree, "v", "left").select("class", F.col("v").alias("class_id"), F.coalesce("label", "v").alias("group_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     full = signed.select("doc_id", "class").join(known, "class").select("doc_id", "class_id", "group_id", "n_links")

@@ -314,6 +314,32 @@ def test_near_dedup_finds_all_pairs_over_the_threshold(spark):
     assert together == want  # pairs here stand apart, so groups are pairs
 
 
+def test_near_dedup_groups_large_families_as_brute_force_does(spark):
+    rng = random.Random(5)
+    base, rows = prose(rng, 200).split(), []
+    for _ in range(400):
+        v = list(base)
+        for p in rng.sample(range(200), rng.choice((3, 3, 4, 5))):
+            v[p] = "new" + str(rng.randrange(10**6))
+        rows.append(v)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    idf = near_dedup.idf_table(*near_dedup.document_frequencies(docs))
+    buf = np.frombuffer("".join(" ".join(w) + " " for w in rows).encode(), np.uint8)
+    s, e, _ = near_dedup.A.find_words(buf, np.array([0, len(buf)]))
+    h, c, first = near_dedup._shingles(near_dedup.A.span_hash(buf, s, e), np.arange(len(rows) + 1) * 200)
+    w = near_dedup._weights(h, c, idf).astype(np.float64)
+    v = [(h[a:b], w[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+    label = list(range(len(v)))
+    for a in range(len(v)):
+        for b in range(a + 1, len(v)):
+            if label[a] != label[b] and near_dedup.similarity(v[a], v[b]) >= 0.8:
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    assert 1 < len(set(label)) < len(label)
+    got = {r.doc_id: r.group_id for r in near_dedup.groups(docs).collect()}
+    assert got == dict(enumerate(label))
+
+
 def test_components(spark, tmp_path):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7)]
     got = {r.v: r.label for r in components(spark.createDataFrame(chain, "a long, b long"), f"file://{tmp_path}/c").collect()}
