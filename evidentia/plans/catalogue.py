@@ -433,12 +433,19 @@ def seeded_sample(spark, d):
     return worklist.seeded_sample(rows, "c_custkey", worklist.sample_size(total, 0.1, total), 42)
 
 
+#: Distinct names that one array may hold.
+MOST_NAMES = 10_000
+
+
 @query()
 def absent_shuffled(spark, d):
-    small = [r.name for r in I.names(spark, d).where("node_id < 80").orderBy("node_id").collect()]
+    names = I.names(spark, d).groupBy("name").agg(F.min("node_id").alias("least"))
+    if names.limit(MOST_NAMES + 1).count() > MOST_NAMES:
+        raise ValueError(f"over {MOST_NAMES} distinct names do not go into one array")
+    whole = names.agg(F.transform(F.array_sort(F.collect_list(F.struct("least", "name"))), lambda x: x["name"]).alias("whole"))
     lists = evidence.feature_lists(evidence.present_features(I.features(spark, d), I.names(spark, d)))
-    absent = evidence.absent_array(F.col("names"), F.array(*map(F.lit, small)))
-    return worklist.shuffled_cut(lists.select("entity", absent.alias("names")), most=20).select("entity", F.array_join("names", ", ").alias("absent"))
+    absent = evidence.absent_array(F.col("names"), F.col("whole"))
+    return worklist.shuffled_cut(lists.crossJoin(F.broadcast(whole)).select("entity", absent.alias("names")), most=20).select("entity", F.array_join("names", ", ").alias("absent"))
 
 
 # ---------------------------------------------------------------- prompts

@@ -41,3 +41,10 @@ def test_against_duckdb(spark, name):
     names = [x[0] for x in r.description]
     assert sorted(names) == columns
     assert got == sorted(tuple(norm(x[names.index(c)]) for c in columns) for x in r.fetchall())
+
+
+def test_absent_names_come_from_the_whole_dictionary(spark, tmp_path):
+    spark.createDataFrame([(100 + k, f"n{k % 8}") for k in range(16)], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, 100), (1, 101), (2, 111)], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.entity: r.absent for r in catalogue.QUERIES["absent_shuffled"](spark, str(tmp_path)).collect()}
+    assert got == {1: "n2, n3, n4, n5, n6, n7", 2: "n0, n1, n2, n4, n5, n6, n7"}
