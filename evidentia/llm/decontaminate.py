@@ -3,7 +3,8 @@
 A mask slides over the tokens and hashes only its marked positions, so a window still
 meets its source after a substitution at an unmarked one. Hashes of the test items and
 of all documents are joined; around each hit, item and document are compared token by
-token on that diagonal, and the best segment tells how much of the item is there.
+token on that diagonal, and the best segment, or else the whole overlap, tells how much
+of the item is there.
 
 Test items are taken in blocks of bounded size, each against all documents, so what
 travels to the tasks does not follow the size of the benchmark.
@@ -27,7 +28,8 @@ MASKS = ("111011001011", "110100110111", "101101110101", "111100011101")
 SPAN = 12
 #: Items of a block, at most.
 BLOCK_ITEMS = 5000
-#: A hit counts if its segment has this share of the item's tokens, of at most CAP of them.
+#: A hit counts if its segment has this share of the item's tokens, of at most CAP of them,
+#: or its whole diagonal this share of all of the item's tokens.
 SHARE = 0.8
 CAP = 16
 #: Score of a substituted token in a segment, where a match scores 1.
@@ -66,6 +68,7 @@ class Items:
         self.tokens, self.first = _tokens(np.frombuffer(b"".join(texts), np.uint8), off)
         sizes = np.diff(self.first)
         self.need = np.array([math.ceil(SHARE * min(n, CAP)) for n in sizes], np.int64)
+        self.need_whole = np.array([math.ceil(SHARE * n - 1e-9) for n in sizes], np.int64)
         # an item shorter than the masks is one seed, all of it marked
         short = sorted({int(n) for n in sizes if 0 < n < SPAN})
         self.seeds = []
@@ -109,6 +112,13 @@ class Items:
             end = int(np.argmax(total - low))
             begin = int(np.argmin(total[: end + 1]))
             matched = int(same[begin:end].sum())
+            if matched < self.need[item] and int(same.sum()) >= self.need_whole[item]:
+                # trimming its ends scores better, but the whole overlap holds enough of the item
+                at = np.flatnonzero(same)
+                begin, end, matched = int(at[0]), int(at[-1]) + 1, len(at)
+                if matched > best.get((doc, item), (0,))[0]:
+                    best[doc, item] = (matched, end - begin, lo + begin + diagonal, lo + begin)
+                continue
             if matched >= self.need[item] and matched > best.get((doc, item), (0,))[0]:
                 best[doc, item] = (matched, end - begin, lo + begin + diagonal, lo + begin)
         return [(d, i, *v) for (d, i), v in sorted(best.items())]

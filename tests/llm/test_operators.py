@@ -228,6 +228,20 @@ def test_decontamination_tolerates_substitutions(spark, docs, none):
     assert decontaminate.find(docs, bench.limit(0)).count() == 0 and decontaminate.clean(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_decontamination_counts_the_whole_overlap_of_short_items(spark):
+    rng = random.Random(4)
+    items = [[f"w{rng.randrange(10**9)}" for _ in range(n)] for n in (16, 18, 16)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    rows = []
+    for item, places in ((0, (1, 3)), (1, (1, 3, 5)), (2, (0, 1, 2, 3))):  # 14 of 16, 15 of 18, 12 of 16
+        rows.append((item, " ".join(["some", *("changed" if k in places else w for k, w in enumerate(items[item])), "more"])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.find(docs, bench).collect()}
+    assert set(got) == {(0, 0), (1, 1)}
+    assert [(r.n_matched, r.n_span, r.doc_start, r.item_start) for r in (got[0, 0], got[1, 1])] == [(14, 16, 1, 0), (15, 18, 1, 0)]
+    assert [r.doc_id for r in decontaminate.clean(docs, bench).collect()] == [2]
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     rng = random.Random(3)
     items = [prose(rng, 25) for _ in range(9)]
