@@ -14,8 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 19
-SEGMENT = 1 << 20
-LONG_WORD = 1 << 16
+#: Spans over so many bytes are hashed one at a time.
+LONG_WORD = 1 << 9
 
 _U = np.uint64
 _M1, _M2 = _U(0xFF51AFD7ED558CCD), _U(0xC4CEB9FE1A85EC53)
@@ -33,62 +33,65 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-class _Powers:
-    """Powers of an odd base modulo 2**64, their inverses and a value for each byte."""
+def _lanes(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as little-endian numbers; zeros follow the last byte."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), "<u8", padded, 0, (1,))
 
-    def __init__(self, seed: int):
-        base = int(mix(np.array([seed * 2 + 1], np.uint64))[0]) | 1
-        inverse = pow(base, -1, 1 << 64)
-        self.up = self._run(base)
-        self.down = self._run(inverse)
-        self.byte = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + _U(seed))
 
-    @staticmethod
-    def _run(base: int) -> np.ndarray:
-        out = np.empty(SEGMENT + 1, np.uint64)
-        out[0] = 1
-        out[1:] = base & ((1 << 64) - 1)
-        return np.cumprod(out)
+#: Masks of the lowest 0 to 8 bytes.
+_LOW = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
-_powers: dict[int, _Powers] = {}
-
-
-def powers(seed: int = 0) -> _Powers:
-    if seed not in _powers:
-        _powers[seed] = _Powers(seed)
-    return _powers[seed]
+def byte_values() -> np.ndarray:
+    """A 64-bit value for each byte, for n-grams of bytes."""
+    return mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 
 
 def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit hash of each byte span ``buf[start:end]``; spans ascend and do not overlap."""
+    """64-bit hash of each byte span ``buf[start:end]``.
+
+    Eight bytes at a time go through the finaliser, so no arithmetic of the bytes alone
+    (as with polynomials) makes two spans alike; other seeds give independent hashes.
+    Spans over ``LONG_WORD`` bytes are hashed by BLAKE2 instead.
+    """
     import hashlib
 
-    out = np.empty(len(starts), np.uint64)
-    if not len(starts):
-        return out
-    p, lo = powers(seed), 0
-    lengths = ends - starts
-    while lo < len(starts):
-        base = int(starts[lo])
-        if lengths[lo] > LONG_WORD:
-            d = hashlib.blake2b(buf[base : int(ends[lo])].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little"))
-            out[lo] = int.from_bytes(d.digest(), "little")
-            lo += 1
-            continue
-        hi = int(np.searchsorted(ends, base + SEGMENT, "right"))
-        big = np.flatnonzero(lengths[lo:hi] > LONG_WORD)
-        if len(big):
-            hi = lo + int(big[0])
-        s, e = starts[lo:hi] - base, ends[lo:hi] - base
-        n = int(e[-1])
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(p.byte[buf[base : base + n]] * p.up[:n], out=total[1:])
-        out[lo:hi] = mix((total[e] - total[s]) * p.down[s] + (e - s).astype(np.uint64))
-        lo = hi
+    n = ends - starts
+    if not len(n):
+        return np.empty(0, np.uint64)
+    one, two = mix(np.array([2 * seed + 1, 2 * seed + 2], np.uint64) * _U(0x9E3779B97F4A7C15))
+    odd = one | _U(1)
+    lanes = _lanes(buf)
+    out = mix((lanes[starts] & _LOW[np.minimum(n, 8)] ^ two) + n.astype(np.uint64) * odd)
+    at, k = np.flatnonzero((n > 8) & (n <= LONG_WORD)), 8
+    while len(at):
+        out[at] = mix(out[at] * odd + (lanes[starts[at] + k] & _LOW[np.minimum(n[at] - k, 8)]))
+        k += 8
+        at = at[n[at] > k]
+    salt = int(one).to_bytes(8, "little")
+    for i in np.flatnonzero(n > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8, salt=salt).digest(), "little")
     return out
 
 
+def same_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Whether each span of ``buf`` holds the same bytes as that of ``other``, compared eight at a time."""
+    n = ends - starts
+    same = n == stops - begins
+    mine, theirs = _lanes(buf), _lanes(other)
+    at, k = np.flatnonzero(same & (n > 0)), 0
+    while len(at):
+        low = _LOW[np.minimum(n[at] - k, 8)]
+        equal = (mine[starts[at] + k] ^ theirs[begins[at] + k]) & low == 0
+        same[at[~equal]] = False
+        k += 8
+        at = at[equal]
+        at = at[n[at] > k]
+    return same
+
+
 def find_words(buf: np.ndarray, off: np.ndarray, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and for each document the index of its first word (plus the total)."""
     n = len(buf)

@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 from .store import bounded
+from .training_sample import bounded_texts, held_out
 
-#: Bound on training documents of one language, and on their length in characters.
+#: Bounds on training documents of one language, and on the bytes of their texts.
 SAMPLE = 200
-SAMPLE_CHARS = 200_000
+SAMPLE_BYTES = 16 << 20
 HIDDEN = 8
 EMBED = 8
 SEGMENT = 64
@@ -170,22 +171,18 @@ def train(texts: list[bytes], labels: list[int], languages: list[str], steps: in
     return net
 
 
-def held_out(doc_id) -> F.Column:
-    """Rows that training never sees: CRC-32 of the decimal doc_id is a multiple of 5."""
-    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
-
-
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Network:
+def fit(docs: DataFrame, sample: int = SAMPLE, size: int = SAMPLE_BYTES) -> Network:
     """Learns text and non-null lang of at most ``sample`` documents a language, not held out.
 
-    The choice is by hash of doc_id; texts over ``SAMPLE_CHARS`` characters are not used.
+    The choice is by hash of doc_id; whole texts are taken while they have ``size`` bytes
+    a language. Of several texts of one doc_id and language the least is taken.
     """
     rows = docs.select("doc_id", "text", "lang").where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(~held_out(F.col("doc_id")))
     by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "lang").withColumn("__k", F.row_number().over(by)).where(F.col("__k") <= sample).select("doc_id", "lang").distinct()
-    got = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").toPandas().sort_values(["doc_id", "lang", "text"])
-    languages = sorted(set(got["lang"]))
-    return train([t.encode() for t in got["text"]], [languages.index(x) for x in got["lang"]], languages)
+    chosen = rows.select("doc_id", "lang").withColumn("k", F.dense_rank().over(by)).where(F.col("k") <= sample).select("doc_id", "lang").distinct()
+    got = bounded_texts(rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select(F.col("lang").alias("label"), "doc_id", "text"), size)
+    languages = sorted({x for x, _, _ in got})
+    return train([t.encode() for _, _, t in got], [languages.index(x) for x, _, _ in got], languages)
 
 
 _LETTER = np.zeros(256, bool)
@@ -220,7 +217,8 @@ def identify(docs: DataFrame, net: Network) -> DataFrame:
     """doc_id, held_out, lang_pred and score (mean probability of that language) of every row.
 
     Null text, or text without a letter: ``und`` with score 0. So is every text if no
-    language was learned. Repeated rows each get their own row; extra columns are ignored.
+    language was learned. A text of any length counts whole. Repeated rows each get their
+    own row; extra columns are ignored.
     """
     rows = bounded(docs).select("doc_id", "text").mapInArrow(_label(net), "doc_id long, lang_pred string, score double")
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

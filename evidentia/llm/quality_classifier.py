@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .store import bounded
+from .store import bounded, fresh
+from .training_sample import bounded_texts, held_out
 
-#: Bound on labelled documents that training sees.
+#: Bounds on labelled documents that training sees, and on the bytes of their texts for each label.
 SAMPLE = 2500
+SAMPLE_BYTES = 24 << 20
 BITS = 17
 DIM = 12
 EPOCHS = 3
@@ -27,6 +29,7 @@ RATE = 0.2
 CUT = 0.3
 NGRAMS = (3, 5)
 _SCALE = 1 << 20
+_BYTES = A.byte_values()
 
 
 def features(buf: np.ndarray, off: np.ndarray, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -45,7 +48,7 @@ def features(buf: np.ndarray, off: np.ndarray, bits: int = BITS) -> Iterator[tup
         pairs = A.window_hash(words, 2)[at]
         yield np.where(words[at] == words[at + 1], 0, (pairs >> shift).astype(np.int64)), s[at]
     space = A.SPACE[buf]
-    value = A.powers(0).byte[np.where(space, np.uint8(32), buf)]
+    value = _BYTES[np.where(space, np.uint8(32), buf)]
     blanks = np.zeros(len(buf) + 1, np.int64)
     np.cumsum(space, out=blanks[1:])
     for n in NGRAMS:
@@ -111,27 +114,24 @@ def train(texts: list[bytes], labels: np.ndarray, bits: int = BITS, dim: int = D
     return Model(np.rint(inputs @ (out[1] - out[0]) * _SCALE).astype(np.int64), float(bias[1] - bias[0]), bits)
 
 
-def held_out(doc_id) -> F.Column:
-    """Rows that training never sees: CRC-32 of the decimal doc_id is a multiple of 5."""
-    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = SAMPLE_BYTES) -> Model:
     """Learns ``labels.quality`` from at most ``sample`` labelled documents that are not held out.
 
-    Null doc_id, quality or text does not count as labelled; a doc_id labelled more than
-    once takes its largest label.
+    Of each label, whole texts of at most ``size`` bytes in all are taken. Null doc_id,
+    quality or text does not count as labelled; a doc_id labelled more than once takes
+    its largest label, one with more than one text its least.
     """
+    taken, label = fresh(docs, "labelled"), fresh(docs, "label")
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
         .where(~held_out(F.col("doc_id")))
-        .groupBy("doc_id").agg(F.max("quality").alias("__q"))
+        .groupBy("doc_id").agg(F.max("quality").alias(label))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        .select(F.col("doc_id").alias("__l"), "__q")
+        .select(F.col("doc_id").alias(taken), label)
     )
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), F.col("doc_id") == F.col("__l")).select("doc_id", "text", "__q").toPandas()
-    rows = rows.sort_values(["doc_id", "text"])
-    return train([t.encode() for t in rows["text"]], rows["__q"].to_numpy(np.int64))
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), F.col("doc_id") == F.col(taken))
+    got = bounded_texts(rows.select(F.col(label).alias("label"), "doc_id", "text"), size)
+    return train([t.encode() for _, _, t in got], np.array([q for q, _, _ in got], np.int64))
 
 
 def _score(model: Model, keep: bool):
@@ -147,7 +147,11 @@ def _score(model: Model, keep: bool):
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row. Null text scores as empty: the bias alone."""
+    """doc_id, held_out, score and predicted of every row.
+
+    Null text scores as empty: the bias alone. A text of any length is scored whole;
+    repeated rows each get their row; extra columns are ignored.
+    """
     rows = bounded(docs).select("doc_id", "text").mapInArrow(_score(model, False), "doc_id long, score double, predicted int")
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 

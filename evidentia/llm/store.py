@@ -10,8 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only up to this many (narrow) rows; beyond, the join shuffles.
+#: A side is broadcast only up to so many rows and bytes of values; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 16 << 20
 #: Bounds of the Arrow batches that go to Python.
 ARROW_ROWS = 2000
 ARROW_BYTES = "8m"
@@ -25,10 +26,21 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = f"{name}_added"
+    while out.lower() in taken:
+        out += "_"
+    return out
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (tests), below a local one."""
+    """A new folder below spark.checkpoint.dir; where that is unset, below a local one, but only if the master is local too."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="evidentia-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -55,9 +67,13 @@ def release() -> None:
         spark.sparkContext._jvm.System.gc()
 
 
-def checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a narrow table for broadcast if it is counted to be small enough; else leaves the join to a shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def checked(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks a table for broadcast if it is counted and measured to be small enough; else leaves the join to a shuffle."""
+    width = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        width = width + (F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) if f.dataType.typeName() in ("string", "binary") else F.lit(8))
+    got = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("size")).first()
+    return F.broadcast(df) if got["n"] <= rows and (got["size"] or 0) <= size else df
 
 
 def file_system(uri: str):

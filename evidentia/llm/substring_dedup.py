@@ -4,17 +4,22 @@ Documents come in batches of ascending ``doc_id``. Map tasks hash every window o
 ``width`` words of a chunk of documents, settle repeats inside the chunk, and send
 the first occurrences as packed sorted arrays, one for each bucket. A window's bucket
 follows from the least hash among its word 8-grams, which neighbouring windows mostly
-share: equal windows meet, and a repeated passage comes back in few rows.
-For each bucket one task merge-joins the batch with the sorted, immutable runs of
-earlier batches, confirms each hit with an independent second hash, and writes the
-batch's new fingerprints as one more sorted run. When ``fanout`` runs have gathered,
+share: equal windows meet, and a repeated passage comes back in few rows. Windows of an
+8-gram that is frequent by itself (a licence line in differing surroundings) go by their
+own hash instead, over all buckets. For each bucket one task merge-joins the batch with the sorted, immutable runs of
+earlier batches, confirms each hit with a second hash that starts from other hashes of
+the words, and writes the batch's new fingerprints as one more sorted run. When ``fanout`` runs have gathered,
 each bucket's runs are merged into one. A passage that a third of all documents
 share reaches a bucket once per chunk, not once per document.
+
+All hashes start from a key drawn for each run, so no text can be made to collide; the
+result does not depend on it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,14 +28,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .store import bounded, file_system, put, release, remove, save, shared_dir
+from .store import bounded, file_system, fresh, put, release, remove, save, shared_dir
 
 WIDTH = 20
+#: Batches, at least; more where one would have over BATCH_BYTES of text.
 BATCHES = 4
+BATCH_BYTES = 1 << 42
 FANOUT = 3
 CHUNK_BYTES = 3 << 20
 BUCKET_WINDOWS = 4_000_000
 LEAST_BUCKETS = 64
+#: One document in so many is looked at for frequent 8-grams; what is found moves windows, no result.
+HOT_SAMPLE = 32
 _ANCHOR = 8
 _NO_ID = -(1 << 63)
 
@@ -51,27 +60,33 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _hashed(table: pa.Table, width: int):
+def _anchors(h: np.ndarray, width: int) -> np.ndarray:
+    """The least hash among the word 8-grams of each window."""
+    return A.mix(_least(A.window_hash(h, min(_ANCHOR, width), seed=2), max(1, width - _ANCHOR + 1)))
+
+
+def _hashed(table: pa.Table, width: int, key: int):
     """doc ids (ascending), first word of each, and window hashes, checks and starts of the chunk."""
     ids = table["doc_id"].combine_chunks().fill_null(_NO_ID).to_numpy(zero_copy_only=False)
     order = np.argsort(ids, kind="stable")
-    words, counts = [None] * len(order), np.zeros(len(order), np.int64)
+    words, others, counts = [None] * len(order), [None] * len(order), np.zeros(len(order), np.int64)
     at = 0
     for _, buf, off in A.blocks(table.to_batches(), "text"):
         starts, ends, first = A.find_words(buf, off)
-        h = A.span_hash(buf, starts, ends)
+        h, other = A.span_hash(buf, starts, ends, key), A.span_hash(buf, starts, ends, key + 1)
         for k in range(len(off) - 1):
-            words[at] = h[first[k] : first[k + 1]]
+            words[at], others[at] = h[first[k] : first[k + 1]], other[first[k] : first[k + 1]]
             counts[at] = len(words[at])
             at += 1
     first = np.zeros(len(order) + 1, np.int64)
     np.cumsum(counts[order], out=first[1:])
-    h = np.concatenate([words[k] for k in order]) if len(order) else np.empty(0, np.uint64)
-    del words
+    none = np.empty(0, np.uint64)
+    h, other = (np.concatenate([x[k] for k in order]) if len(order) else none for x in (words, others))
+    del words, others
     at = np.flatnonzero(A.window_mask(first, width))
-    hashes = A.window_hash(h, width)[at]
-    checks = (A.window_hash(h, width, seed=1)[at] & np.uint64(0xFFFF)).astype(np.uint16)
-    grams = A.mix(_least(A.window_hash(h, min(_ANCHOR, width), seed=2), max(1, width - _ANCHOR + 1))[at])
+    checks = (A.window_hash(other, width, seed=1)[at] & np.uint64(0xFFFF)).astype(np.uint16)
+    del other
+    hashes, grams = A.window_hash(h, width)[at], _anchors(h, width)[at]
     return ids[order], first, hashes, checks, grams, at
 
 
@@ -95,14 +110,28 @@ def _starts_by_doc(ids: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(ids[runs]), pa.array([pos[a:b].tobytes() for a, b in zip(runs, ends, strict=True)], pa.binary())], schema=_HITS)
 
 
-def _send(width: int, buckets: int):
+def _frequent(width: int, key: int):
+    """Anchors that occur more than once in a chunk, with how many windows they have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _chunks(batches):
+            grams, n = np.unique(_hashed(table, width, key)[4], return_counts=True)
+            much = n > width
+            yield pa.record_batch([pa.array(grams[much].view(np.int64)), pa.array(n[much])], names=["anchor", "n"])
+
+    return run
+
+
+def _send(width: int, buckets: int, key: int, hot: np.ndarray):
     shift = np.uint64(64 - buckets.bit_length() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), *((c, pa.binary()) for c in ("hashes", "checks", "locs", "docs", "firsts"))])
         for table in _chunks(batches):
-            ids, first, hashes, checks, grams, at = _hashed(table, width)
+            ids, first, hashes, checks, grams, at = _hashed(table, width, key)
             del table
+            if len(hot):
+                grams = np.where(np.isin(grams, hot), A.mix(hashes), grams)
             if not len(at):
                 continue
             order = np.argsort(hashes)
@@ -260,10 +289,12 @@ class FingerprintIndex:
     files ``<run>/<bucket>.arrow`` that are never changed once in place.
     """
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int, width: int = WIDTH, fanout: int = FANOUT):
+    def __init__(self, spark: SparkSession, root: str, buckets: int, width: int = WIDTH, fanout: int = FANOUT, hot: np.ndarray | None = None, key: int | None = None):
         if buckets & (buckets - 1):
             raise ValueError("buckets must be a power of two")
         self.spark, self.root, self.buckets, self.width, self.fanout = spark, root, buckets, width, fanout
+        self.key = secrets.randbits(62) if key is None else key
+        self.hot = np.empty(0, np.uint64) if hot is None else hot
         self.runs: list[str] = []
         self.made = 0
 
@@ -274,7 +305,7 @@ class FingerprintIndex:
     def add(self, docs: DataFrame, hits_path: str) -> DataFrame:
         """Rows (doc_id, starts): starts of windows seen before, as packed little-endian uint32."""
         new = self._name()
-        sent = docs.select("doc_id", "text").mapInArrow(_send(self.width, self.buckets), _SENT)
+        sent = docs.select("doc_id", "text").mapInArrow(_send(self.width, self.buckets, self.key, self.hot), _SENT)
         hits = sent.groupBy("bucket").applyInArrow(_merge(self.root, list(self.runs), new), "doc_id long, starts binary")
         out = save(hits, hits_path)
         self.runs.append(new)
@@ -304,13 +335,13 @@ def _cover(data: list[bytes] | None, n: int, width: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def _rewrite(width: int, columns: list[str], whole: bool):
+def _rewrite(width: int, starts: str, whole: bool):
     """Removes covered words. whole: the rows go on with new text; else only digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = batch.column(batch.schema.get_field_index("__starts"))
-            texts = batch.column(batch.schema.get_field_index(columns[1]))
+            hits = batch.column(batch.schema.get_field_index(starts))
+            texts = batch.column(batch.schema.get_field_index("text"))
             n_words, n_removed, out = [], [], []
             for k in range(batch.num_rows):
                 t = texts[k]
@@ -328,8 +359,8 @@ def _rewrite(width: int, columns: list[str], whole: bool):
                 n_words.append(len(words))
                 n_removed.append(cut)
             if whole:
-                cols = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names if c != "__starts"}
-                cols[columns[1]] = pa.array(out, pa.string())
+                cols = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names if c != starts}
+                cols["text"] = pa.array(out, pa.string())
                 if "n_chars" in cols:
                     sizes = [None if o is None else len(o) for o in out]
                     cols["n_chars"] = pa.array([s if r else o for s, o, r in zip(sizes, cols["n_chars"].to_pylist(), n_removed, strict=True)], cols["n_chars"].type)
@@ -340,24 +371,38 @@ def _rewrite(width: int, columns: list[str], whole: bool):
     return run
 
 
-def _plan(docs: DataFrame, batches: int, bucket_windows: int) -> tuple[list, int]:
-    """Ascending cut points of doc_id for the batches, and the number of hash ranges."""
-    r = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.expr(f"percentile_approx(doc_id, array({', '.join(str((k + 1) / batches) for k in range(batches - 1)) or '1.0'}), 1000)").alias("q")).first()
-    cuts = sorted(set(r["q"] or [])) if batches > 1 else []
-    windows = (r["b"] or 0) / 6
+def _plan(docs: DataFrame, batches: int | None, bucket_windows: int) -> tuple[list, int]:
+    """Ascending cut points of doc_id for the batches, and the number of buckets."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    batches = batches or max(BATCHES, -(-size // BATCH_BYTES))
+    cuts = []
+    if batches > 1:
+        shares = ", ".join(str((k + 1) / batches) for k in range(batches - 1))
+        cuts = sorted(set(docs.agg(F.expr(f"percentile_approx(doc_id, array({shares}), 1000)")).first()[0] or []))
     buckets = 1
-    while buckets * bucket_windows < windows:
+    while buckets * bucket_windows < size / 6:
         buckets *= 2
     return cuts, max(LEAST_BUCKETS, buckets)
 
 
-def find_repeats(docs: DataFrame, width: int = WIDTH, batches: int = BATCHES, fanout: int = FANOUT, bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
+def frequent_anchors(docs: DataFrame, width: int, key: int, least: int) -> np.ndarray:
+    """8-grams that by the sampled documents are the anchor of over ``least`` windows.
+
+    They only spread load, so a sample will do; their number is at most that of all
+    windows over ``least``.
+    """
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(HOT_SAMPLE)) == 0).mapInArrow(_frequent(width, key), "anchor long, n long")
+    rows = some.groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") * HOT_SAMPLE > least).select("anchor").collect()
+    return np.array(sorted(r.anchor for r in rows), np.int64).view(np.uint64)
+
+
+def find_repeats(docs: DataFrame, width: int = WIDTH, batches: int | None = None, fanout: int = FANOUT, bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
     """Rows (doc_id, starts) of all windows that also start earlier, by incremental batches."""
-    spark = docs.sparkSession
+    spark, key = docs.sparkSession, secrets.randbits(62)
     root = shared_dir(spark, "fingerprints")
     docs = bounded(docs).select("doc_id", "text")
     cuts, buckets = _plan(docs, batches, bucket_windows)
-    index = FingerprintIndex(spark, f"{root}/index", buckets, width, fanout)
+    index = FingerprintIndex(spark, f"{root}/index", buckets, width, fanout, frequent_anchors(docs, width, key, bucket_windows // 4), key)
     edges = [None, *cuts, None]
     out = None
     for k in range(len(edges) - 1):
@@ -375,13 +420,15 @@ def find_repeats(docs: DataFrame, width: int = WIDTH, batches: int = BATCHES, fa
     return out
 
 
-def _with_hits(docs: DataFrame, hits: DataFrame) -> DataFrame:
+def _with_hits(docs: DataFrame, hits: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with their packed starts, and the name of that column."""
+    key, name = fresh(docs, "id"), fresh(docs, "starts")
     # an absent doc_id travels as the smallest id
-    by_doc = hits.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("starts").alias("__starts"))
-    return docs.withColumn("__id", F.coalesce(F.col("doc_id"), F.lit(_NO_ID))).join(by_doc, "__id", "left").drop("__id")
+    by_doc = hits.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list("starts").alias(name))
+    return docs.withColumn(key, F.coalesce(F.col("doc_id"), F.lit(_NO_ID))).join(by_doc, key, "left").drop(key), name
 
 
-def dedup_digest(docs: DataFrame, width: int = WIDTH, batches: int = BATCHES) -> DataFrame:
+def dedup_digest(docs: DataFrame, width: int = WIDTH, batches: int | None = None) -> DataFrame:
     """Per row: doc_id, n_words, n_removed and the SHA-256 of the kept words.
 
     Null or empty text: no words, digest of the empty string. Null doc_id counts as the
@@ -389,15 +436,15 @@ def dedup_digest(docs: DataFrame, width: int = WIDTH, batches: int = BATCHES) ->
     its rows are not earlier than each other. Extra columns are ignored.
     """
     docs = docs.select("doc_id", "text")
-    rows = _with_hits(docs, find_repeats(docs, width, batches))
-    return rows.mapInArrow(_rewrite(width, ["doc_id", "text"], False), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    rows, starts = _with_hits(docs, find_repeats(docs, width, batches))
+    return rows.mapInArrow(_rewrite(width, starts, False), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def dedup(docs: DataFrame, width: int = WIDTH, batches: int = BATCHES) -> DataFrame:
+def dedup(docs: DataFrame, width: int = WIDTH, batches: int | None = None) -> DataFrame:
     """The documents with repeated windows cut out of ``text`` (words joined by one space) and ``n_chars`` renewed.
 
     Documents without a repeat keep their text byte for byte; one of which nothing is
     left stays with an empty text. Nulls and repeated ids as in :func:`dedup_digest`.
     """
-    rows = _with_hits(docs, find_repeats(docs, width, batches))
-    return rows.select(*docs.columns, "__starts").mapInArrow(_rewrite(width, ["doc_id", "text"], True), docs.schema)
+    rows, starts = _with_hits(docs, find_repeats(docs, width, batches))
+    return rows.select(*docs.columns, starts).mapInArrow(_rewrite(width, starts, True), docs.schema)

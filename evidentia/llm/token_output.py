@@ -5,15 +5,17 @@ batches hold fixed-size lists (ids and packed mask bits), so that sequence ``i``
 a view into the mapped file at a computable place, and a second Arrow file with the
 place of each document. Ids take 16 bits where the vocabulary allows.
 
-A text is encoded word by word: the tokenizer drops white space and never joins
-across it, so each distinct word is encoded once per worker. Words of ASCII and
+Where the tokenizer is of the kind ``_PIPELINE`` tells, a text is encoded word by word:
+it drops white space and never joins across it, so each distinct word is encoded once per worker. Words of ASCII and
 Latin-1 letters are one pre-token: their case is folded as the tokenizer's own
 normaliser does, closing punctuation is split off, and the library's model gets them
-directly. All other words go through the whole library pipeline unchanged.
+directly. All other words go through the whole library pipeline unchanged. With any
+other tokenizer the library encodes whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -43,6 +45,14 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER_TRAIL = np.arange(256, dtype=np.uint8)
 _LOWER_TRAIL[0x80:0x9F] += 32
+#: Normaliser and pre-tokeniser, as the library states them, that work within words.
+_PIPELINE = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+)
 _PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
 
@@ -83,6 +93,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        stated = json.loads(self.tokenizer.to_str())
+        self.by_word = (stated["normalizer"], stated["pre_tokenizer"]) == _PIPELINE and stated["model"]["type"] == "BPE" and not any(c.isspace() for t in stated["added_tokens"] for c in t["content"])
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.cache = WordCache(self._make, self.dtype)
         from tokenizers.pre_tokenizers import ByteLevel
@@ -106,11 +118,15 @@ class Encoder:
 
     def encode(self, buf: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents one after another, each closed by ``end_id``, and their counts."""
+        if not self.by_word:
+            raw = buf.tobytes()
+            got = self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], add_special_tokens=False)
+            return np.concatenate([np.array([*x.ids, end_id], self.dtype) for x in got]), np.array([len(x.ids) + 1 for x in got], np.int64)
         folded, s, e, first = _pieces(buf, off)
         docs = len(off) - 1
         if not len(s):
             return np.full(docs, end_id, self.dtype), np.ones(docs, np.int64)
-        ids, n = self.cache.gather(self.cache.rows(A.span_hash(folded, s, e), folded, s, e))
+        ids, n = self.cache.gather(self.cache.rows(folded, s, e))
         total = np.zeros(len(n) + 1, np.int64)
         np.cumsum(n, out=total[1:])
         ends = total[first[1:]]
