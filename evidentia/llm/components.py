@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import save
+from .store import remove, save
 
 
 def components(edges: DataFrame, root: str) -> DataFrame:
@@ -25,5 +25,9 @@ def components(edges: DataFrame, root: str) -> DataFrame:
         jump = labels.select(F.col("v").alias("mid"), F.col("label").alias("far"))
         new = save(low.join(jump, "mid", "left").select("v", "old", F.least("mid", F.coalesce("far", "mid")).alias("label")), f"{root}/labels{step}")
         labels = new.select("v", "label")
-        if new.where("old <> label").limit(1).count() == 0:
+        if step > 1:
+            remove(edges.sparkSession, f"{root}/labels{step - 2}")
+        if new.where("old <> label").isEmpty():
+            remove(edges.sparkSession, f"{root}/labels{step - 1}")
+            remove(edges.sparkSession, f"{root}/edges")
             return labels

@@ -7,11 +7,11 @@ whose size does not grow with them; a shingle has the same weight everywhere. Ea
 two documents agree with probability equal to their weighted Jaccard similarity.
 
 Exact copies (equal word sequences) collapse to a class first. Classes that agree in a
-band are candidates: all pairs in small buckets; in larger ones first each member against
-two pivots and against its neighbours in an order by further samples, which is linear in
-the bucket. Candidates are verified by weighted Jaccard similarity. Members of a large
-bucket that this leaves in several components are then compared exactly, all pairs
-across components, so groups are the connected components over all candidates.
+band are candidates. Each member of a bucket is first verified against two pivots, which
+is linear in the bucket and settles most; then, in every bucket whose members this leaves
+in several components, all pairs of different components are compared, in blocks. Groups
+are so the connected components over all candidate pairs of enough weighted Jaccard
+similarity, whatever the size of a bucket.
 """
 
 from __future__ import annotations
@@ -26,23 +26,22 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 from .components import components
-from .store import bounded, checked, release, remove, save, shared_dir
+from .store import bounded, checked, fresh, release, remove, save, shared_dir
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 12
 ROWS = 4
-#: Samples beyond the bands; they order large buckets.
-ORDER_ROWS = 2
-#: Buckets of up to so many classes give all pairs.
-SMALL = 16
-NEIGHBOURS = 3
-#: Members of an open bucket that a task holds on either side.
+#: Two pivots meet all pairs of a bucket of so many members.
+COVERED = 3
+#: Members of a bucket that a task holds on either side.
 BLOCK = 256
 #: How far document frequency spreads weights: idf lies between 1 and 1 + GAIN.
-GAIN = 0.25
+GAIN = 1.0
 SKETCH_BITS = 19
 _SLICE = 1 << 14
+#: Sketches that a task adds up.
+_FAN = 128
 
 
 def _shingles(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,6 +71,7 @@ def _cells(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import zstandard
     from pyspark import TaskContext
 
     counts = np.zeros(2 << SKETCH_BITS, np.int64)
@@ -83,34 +83,53 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts += np.bincount(cells, minlength=len(counts))
         docs += len(off) - 1
     if docs:
-        task = TaskContext.get().partitionId()
-        n = len(counts) // _SLICE
-        rows = [counts[k * _SLICE : (k + 1) * _SLICE].astype("<i8").tobytes() for k in range(n)]
-        yield pa.record_batch([pa.array([task // 256] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([docs] * n, pa.int64()), pa.array(rows, pa.binary())], names=["part", "slice", "docs", "counts"])
+        z, task, rows = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId(), []
+        for k in range(len(counts) // _SLICE):
+            part = counts[k * _SLICE : (k + 1) * _SLICE]
+            if part.any():
+                rows.append((task // _FAN, k, z.compress(part.astype("<i8").tobytes())))
+        rows.append((task // _FAN, -1, z.compress(np.array([docs], "<i8").tobytes())))
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PART, strict=True)], schema=_PART)
+
+
+_PART = pa.schema([("part", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
 
 
 def _add(table):
-    total = np.zeros(_SLICE, np.int64)
+    import zstandard
+
+    z, total = zstandard.ZstdDecompressor(), 0
     for x in table["counts"]:
-        total += np.frombuffer(x.as_py(), "<i8")
-    return pa.table({"part": table["part"][:1], "slice": table["slice"][:1], "docs": pa.array([pa.compute.sum(table["docs"]).as_py()], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
+        total = total + np.frombuffer(z.decompress(x.as_py()), "<i8")
+    packed = zstandard.ZstdCompressor(level=1).compress(total.astype("<i8").tobytes())
+    return pa.table([pa.array([table["part"][0].as_py() // _FAN]), table["slice"][:1], pa.array([packed], pa.binary())], schema=_PART)
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Count-min cells of document frequencies over all documents, and the number of documents."""
-    kind = "part long, slice int, docs long, counts binary"
-    parts = docs.select("text").mapInArrow(_sketch, kind).groupBy("part", "slice").applyInArrow(_add, kind)
-    rows = parts.groupBy("slice").applyInArrow(_add, kind).collect()
-    cells = np.zeros(2 << SKETCH_BITS, np.int64)
-    for r in rows:
-        cells[r.slice * _SLICE : (r.slice + 1) * _SLICE] = np.frombuffer(r.counts, "<i8")
-    return cells, rows[0].docs if rows else 0
+    import zstandard
+
+    kind = "part long, slice int, counts binary"
+    parts = docs.select("text").mapInArrow(_sketch, kind)
+    for _ in range(3):  # a task adds up to _FAN sketches of a slice: enough for two million tasks
+        parts = parts.groupBy("part", "slice").applyInArrow(_add, kind)
+    cells, n, z = np.zeros(2 << SKETCH_BITS, np.int64), 0, zstandard.ZstdDecompressor()
+    for r in parts.collect():
+        got = np.frombuffer(z.decompress(r.counts), "<i8")
+        if r.slice < 0:
+            n = int(got[0])
+        else:
+            cells[r.slice * _SLICE : (r.slice + 1) * _SLICE] = got
+    return cells, n
 
 
 def idf_table(cells: np.ndarray, docs: int) -> np.ndarray:
+    """idf by cell. Each row of cells loses its mean, which is what other shingles add to a cell."""
     if not docs:
         return np.ones(len(cells), np.float32)
-    return (1 + GAIN * np.clip(np.log((1 + docs) / (1 + cells)) / np.log(1 + docs), 0, 1)).astype(np.float32)
+    rows = cells.reshape(2, -1).astype(np.float64)
+    own = np.maximum(rows - rows.mean(1, keepdims=True), 0).ravel()
+    return (1 + GAIN * np.clip(np.log((1 + docs) / (1 + own)) / np.log(1 + docs), 0, 1)).astype(np.float32)
 
 
 def _weights(h: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -167,49 +186,32 @@ def _sign(idf, bands: int, rows: int):
                 continue
             h, count, begin = _shingles(A.span_hash(buf, s, e), first)
             begin = np.append(begin[some], begin[-1])
-            got = samples(h, _weights(h, count, table), begin, bands * rows + ORDER_ROWS).astype(np.uint64)
+            got = samples(h, _weights(h, count, table), begin, bands * rows).astype(np.uint64)
             keys = np.empty((len(some), bands), np.int64)
             for b in range(bands):
                 key = np.full(len(some), b + 1, np.uint64)
                 for r in range(rows):
                     key = A.mix(key * np.uint64(0x9E3779B97F4A7C15) + got[b * rows + r])
                 keys[:, b] = key.view(np.int64)
-            order = (got[-2] << np.uint64(31) ^ got[-1]).view(np.int64)
             raw = buf.tobytes()
             names = [hashlib.blake2b(b" ".join(raw[a:z].split()), digest_size=16).digest() for a, z in zip(off[:-1][some].tolist(), off[1:][some].tolist(), strict=True)]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * bands, pa.int32()), pa.array(keys.ravel()))
-            yield pa.record_batch([piece.column(0).take(pa.array(some)), pa.array(names, pa.binary()), lists, pa.array(order)], names=["doc_id", "class", "keys", "order"])
+            yield pa.record_batch([piece.column(0).take(pa.array(some)), pa.array(names, pa.binary()), lists], names=["doc_id", "class", "keys"])
 
     return run
 
 
-def _neighbours(width: int):
-    """Each row of a sorted partition with the rows before it in its bucket."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids = np.empty(0, np.int64), np.empty(0, np.int64)
-        for batch in batches:
-            keys = np.concatenate((keys[-width:], batch.column(0).to_numpy()))
-            ids = np.concatenate((ids[-width:], batch.column(1).to_numpy()))
-            for back in range(1, min(width, len(ids) - 1) + 1):
-                same = keys[back:] == keys[:-back]
-                yield pa.record_batch([pa.array(ids[back:][same]), pa.array(ids[:-back][same])], names=["a", "b"])
-
-    return run
+def buckets(classes: DataFrame) -> DataFrame:
+    """Members (key, id, n, p1, p2) of buckets of n > 1 classes, with the two pivots of each bucket."""
+    members = classes.select(F.col("id"), F.explode("keys").alias("key"))
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("p1"), F.min_by("id", F.xxhash64("id", "key")).alias("p2"))
+    return members.join(sizes.where("n > 1"), "key")
 
 
-def candidates(classes: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
-    """Members of shared buckets, and distinct pairs a < b of class ids: all of small buckets, the first to look at of large ones."""
-    members = save(classes.select(F.col("id"), F.explode("keys").alias("key"), "order"), f"{root}/members")
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("p1"), F.min_by("id", F.xxhash64("id", "key")).alias("p2")).where("n > 1")
-    shared = save(members.join(sizes, "key"), f"{root}/shared")
-    small = shared.where(F.col("n") <= SMALL).select("key", "id")
-    pairs = small.select("key", F.col("id").alias("a")).join(small.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
-    large = shared.where(F.col("n") > SMALL)
-    pivots = large.select("id", F.explode(F.array("p1", "p2")).alias("p")).where("id <> p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
-    near = large.select("key", "id", "order").repartitionByRange("key", "order", "id").sortWithinPartitions("key", "order", "id").select("key", "id").mapInArrow(_neighbours(NEIGHBOURS), "a long, b long")
-    near = near.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return shared, pairs.unionByName(pivots).unionByName(near).distinct()
+def pivot_pairs(shared: DataFrame) -> DataFrame:
+    """Distinct pairs (id, pivot) of the buckets, with the size n of the largest one that has the pair."""
+    rows = shared.select("id", "n", "p1", F.explode(F.array("p1", "p2")).alias("pivot")).where("id <> pivot AND id <> p1")
+    return rows.groupBy("id", "pivot").agg(F.max("n").alias("n"))
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -228,57 +230,57 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([piece.column(0), pa.array([z.compress(raw[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.binary())], names=["id", "packed"])
 
 
-def _verify(idf, least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+def _vector(packed: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles and weights of a packed text."""
+    import zstandard
 
-        table, z = idf.value, zstandard.ZstdDecompressor()
+    buf = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    s, e, first = A.find_words(buf, np.array([0, len(buf)]))
+    h, count, _ = _shingles(A.span_hash(buf, s, e), first)
+    return h, _weights(h, count, table).astype(np.float64)
 
-        def vector(packed: bytes):
-            buf = np.frombuffer(z.decompress(packed), np.uint8)
-            s, e, first = A.find_words(buf, np.array([0, len(buf)]))
-            h, count, _ = _shingles(A.span_hash(buf, s, e), first)
-            return h, _weights(h, count, table).astype(np.float64)
 
-        held, held_id = None, None
+def _verify(idf, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, held, held_id = idf.value, None, None
         for batch in batches:
-            a, b, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            ids, pivots, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
             for k in range(batch.num_rows):
-                if held_id != a[k]:
-                    held_id, held = a[k], vector(batch.column(2)[k].as_py())
-                j = similarity(held, vector(batch.column(3)[k].as_py()))
-                if j >= least:
-                    out.append((a[k], b[k], j))
+                if held_id != pivots[k]:
+                    held_id, held = pivots[k], _vector(batch.column(3)[k].as_py(), table)
+                if similarity(held, _vector(batch.column(2)[k].as_py(), table)) >= least:
+                    out.append(sorted((ids[k], pivots[k])))
             if out:
-                x, y, j = zip(*out, strict=True)
-                yield pa.record_batch([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(j, pa.float64())], names=["a", "b", "similarity"])
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
     return run
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows (id, packed) of the documents in ``wanted`` (id)."""
+def packed_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (id, packed), one for each id in ``wanted``."""
     rows = docs.select(F.col("doc_id").alias("id"), "text")
     # repeated doc_ids: one text speaks for the document
     return rows.join(checked(wanted), "id", "left_semi").mapInArrow(_pack, "id long, packed binary").groupBy("id").agg(F.min("packed").alias("packed"))
 
 
-def links(docs: DataFrame, pairs: DataFrame, idf, least: float) -> DataFrame:
-    """The candidate pairs whose weighted Jaccard similarity is at least ``least``."""
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = _texts(docs, wanted)
-    one = pairs.join(texts.select(F.col("id").alias("b"), F.col("packed").alias("y")), "b")
-    two = one.join(texts.select(F.col("id").alias("a"), F.col("packed").alias("x")), "a")
-    return two.select("a", "b", "x", "y").mapInArrow(_verify(idf, least), "a long, b long, similarity double")
+def links(texts: DataFrame, pairs: DataFrame, idf, least: float) -> DataFrame:
+    """The pairs (id, pivot) whose weighted Jaccard similarity is at least ``least``, as a < b.
+
+    A pivot's text goes once to each part of at most about ``BLOCK`` of its members, so
+    the pivot of a large bucket is spread over as many tasks.
+    """
+    parts = F.ceil(F.col("n") / F.lit(BLOCK))
+    members = pairs.withColumn("part", F.pmod(F.xxhash64("id"), parts)).join(texts.withColumnRenamed("packed", "x"), "id")
+    sides = pairs.groupBy("pivot").agg(F.max("n").alias("n")).join(texts.select(F.col("id").alias("pivot"), F.col("packed").alias("y")), "pivot")
+    sides = sides.select("pivot", "y", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    return members.join(sides, ["pivot", "part"]).select("id", "pivot", "x", "y").mapInArrow(_verify(idf, least), "a long, b long")
 
 
 def _across(idf, least: float):
     """Links of a block of a bucket's rest with a chunk of its members, one for each two components."""
 
     def run(table: pa.Table) -> pa.Table:
-        import zstandard
-
-        weigh, z = idf.value, zstandard.ZstdDecompressor()
+        weigh = idf.value
         table = table.sort_by([("id", "ascending"), ("side", "ascending")])
         side, rest, ids = (table[c].to_numpy() for c in ("side", "rest", "id"))
         root = np.unique(table["label"].to_numpy(), return_inverse=True)[1]
@@ -288,10 +290,7 @@ def _across(idf, least: float):
             held = {}
             for k in range(len(ids)):
                 if ids[k] not in held:
-                    buf = np.frombuffer(z.decompress(table["packed"][k].as_py()), np.uint8)
-                    s, e, first = A.find_words(buf, np.array([0, len(buf)]))
-                    h, count, _ = _shingles(A.span_hash(buf, s, e), first)
-                    held[ids[k]] = h, _weights(h, count, weigh).astype(np.float64)
+                    held[ids[k]] = _vector(table["packed"][k].as_py(), weigh)
             keys = np.array(table["keys"].to_pylist(), np.int64)
             band = keys == table["key"][0].as_py()
             earlier = ~np.logical_or.accumulate(band, axis=1)
@@ -317,86 +316,82 @@ def _across(idf, least: float):
                 dense[at[same]] = 0
                 for m in np.flatnonzero(open_ & (low >= (least - 1e-9) * (total + w.sum() - low))).tolist():
                     other = right[m]
-                    if root[other] != root[k] and (j := similarity(held[ids[k]], vectors[m])) >= least:
-                        out.append((*sorted((int(ids[k]), int(ids[other]))), j))
+                    if root[other] != root[k] and similarity(held[ids[k]], vectors[m]) >= least:
+                        out.append(sorted((int(ids[k]), int(ids[other]))))
                         root[root == root[other]] = root[k]
-        x, y, j = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64()), "similarity": pa.array(j, pa.float64())})
+        x, y = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
 
     return run
 
 
-def remainder(docs: DataFrame, classes: DataFrame, shared: DataFrame, labels: DataFrame, root: str, idf, least: float) -> DataFrame | None:
-    """Links (a, b, similarity) across components (``labels``) within large buckets; None if no bucket is open.
+def remainder(texts: DataFrame, classes: DataFrame, shared: DataFrame, labels: DataFrame, root: str, idf, least: float) -> DataFrame | None:
+    """Links (a, b) across components (``labels``) within buckets; None if no bucket is open.
 
     All pairs of different components are compared, in blocks; the largest component of
     a bucket is not compared with itself, so a bucket with few left over costs little.
     """
-    large = shared.where(F.col("n") > SMALL).select("key", "id").distinct().join(labels.select(F.col("v").alias("id"), "label"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    large = shared.where(F.col("n") > COVERED).select("key", "id").distinct()
+    large = large.join(labels.select(F.col("v").alias("id"), "label"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     sizes = large.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-    buckets = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("n")).where("labels > 1")
+    open_ = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("n")).where("labels > 1")
     parts = lambda c: F.ceil(c / F.lit(BLOCK)).cast("int")
-    buckets = save(buckets.select("key", F.col("most.label").alias("base"), parts(F.col("n") - F.col("most.c")).alias("blocks"), parts(F.col("n")).alias("chunks")), f"{root}/open")
-    if buckets.limit(1).count() == 0:
+    open_ = save(open_.select("key", F.col("most.label").alias("base"), parts(F.col("n") - F.col("most.c")).alias("blocks"), parts(F.col("n")).alias("chunks")), f"{root}/open")
+    if open_.isEmpty():
         return None
     rest = F.col("label") != F.col("base")
-    members = save(large.join(checked(buckets), "key").select("key", "id", "label", rest.alias("rest"), "blocks", "chunks"), f"{root}/left")
+    members = save(large.join(checked(open_), "key").select("key", "id", "label", rest.alias("rest"), "blocks", "chunks"), f"{root}/left")
     spread = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     rows = members.where("rest").select("*", F.lit(0).alias("side"), spread("blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     rows = rows.unionByName(members.select("*", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), spread("chunks").alias("chunk")))
-    known = _texts(docs, members.select("id").distinct()).join(classes.groupBy("id").agg(F.min("keys").alias("keys")), "id")
+    known = texts.join(classes.groupBy("id").agg(F.min("keys").alias("keys")), "id")
     rows = rows.select("key", "block", "chunk", "side", "rest", "id", "label").join(known, "id")
-    return rows.groupBy("key", "block", "chunk").applyInArrow(_across(idf, least), "a long, b long, similarity double")
+    return rows.groupBy("key", "block", "chunk").applyInArrow(_across(idf, least), "a long, b long")
 
 
 def groups(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per document row: doc_id, class_id, group_id, n_links, kept.
+    """One row per document row: doc_id, class_id, group_id, kept.
 
     class_id is the smallest doc_id with the same word sequence, group_id the smallest in
-    the near-duplicate group, n_links the verified links of the class to others that were
-    looked at (in large buckets not all pairs of one group are), kept whether doc_id is its group's smallest. A null doc_id, and a text
-    without a word (null, empty), stand alone, with the own doc_id as class and group.
-    Texts of fewer than five words are one shingle. Rows that repeat a doc_id repeat its
-    result; if their texts differ, each follows its own class.
+    the near-duplicate group, kept whether doc_id is its group's smallest. A null doc_id,
+    and a text without a word (null, empty), stand alone, with the own doc_id as class and
+    group. Texts of fewer than five words are one shingle; a text of any length is taken
+    whole. Rows that repeat a doc_id repeat its result; if their texts differ, they are
+    one document of both classes. Extra columns are ignored.
     """
     spark = docs.sparkSession
     root = shared_dir(spark, "neardup")
     docs = bounded(docs).select("doc_id", "text")
     cells, n = document_frequencies(docs)
     idf = spark.sparkContext.broadcast(idf_table(cells, n))
-    signed = save(docs.where("doc_id IS NOT NULL").mapInArrow(_sign(idf, bands, rows), "doc_id long, class binary, keys array<long>, order long"), f"{root}/signed")
-    classes = save(signed.groupBy("class").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("order").alias("order")), f"{root}/classes")
-    # two texts of one doc_id may both be the least of their class
-    shared, pairs = candidates(classes, root)
-    pairs = save(pairs, f"{root}/pairs")
+    signed = save(docs.where("doc_id IS NOT NULL").mapInArrow(_sign(idf, bands, rows), "doc_id long, class binary, keys array<long>"), f"{root}/signed")
+    classes = save(signed.groupBy("class").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")), f"{root}/classes")
+    shared = save(buckets(classes), f"{root}/shared")
     release()
-    found = save(links(docs, pairs, idf, least), f"{root}/links")
+    texts = save(packed_texts(docs, shared.select("id").distinct()), f"{root}/texts")
+    pairs = save(pivot_pairs(shared), f"{root}/pairs")
+    found = save(links(texts, pairs, idf, least), f"{root}/links")
     release()
-    for spent in ("members", "pairs"):
-        remove(spark, f"{root}/{spent}")
     labels = components(found, f"{root}/components")
-    more = remainder(docs, classes, shared, labels, root, idf, least)
+    more = remainder(texts, classes, shared, labels, root, idf, least)
     if more is not None:
         more = save(more, f"{root}/more")
         release()
-        if more.limit(1).count():
-            found = found.unionByName(more.groupBy("a", "b").agg(F.first("similarity").alias("similarity")))
-            labels = components(found, f"{root}/components2")
-    for spent in ("shared", "open", "left"):
+        if not more.isEmpty():
+            labels = components(found.unionByName(more.distinct()), f"{root}/components2")
+    for spent in ("shared", "open", "left", "texts", "pairs", "links", "more"):
         remove(spark, f"{root}/{spent}")
-    degree = found.select(F.col("a").alias("v")).unionByName(found.select(F.col("b").alias("v"))).groupBy("v").agg(F.count(F.lit(1)).alias("n_links"))
-    known = classes.select("class", F.col("id").alias("v")).join(labels, "v", "left").join(degree, "v", "left").select("class", F.col("v").alias("class_id"), F.coalesce("label", "v").alias("group_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    full = signed.select("doc_id", "class").join(known, "class").select("doc_id", "class_id", "group_id", "n_links")
+    known = classes.select("class", F.col("id").alias("v")).join(labels, "v", "left").select("class", F.col("v").alias("class_id"), F.coalesce("label", "v").alias("group_id"))
+    full = signed.select("doc_id", "class").join(known, "class").select("doc_id", "class_id", "group_id")
     blank = (F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "")) == 0) | F.col("doc_id").isNull()
-    alone = docs.where(blank).select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("group_id"), F.lit(0).cast("long").alias("n_links"))
+    alone = docs.where(blank).select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("group_id"))
     out = full.unionByName(alone)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("group_id")))
 
 
 def dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The rows, all columns, of the smallest doc_id of each group and of documents without a group."""
-    gone = groups(docs, least).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = save(gone, shared_dir(docs.sparkSession, "neardup-gone"))
-    return docs.join(checked(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
-
-
+    spark, name = docs.sparkSession, fresh(docs, "gone")
+    gone = groups(docs, least).where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    gone = save(gone, shared_dir(spark, "neardup-gone"))
+    return docs.join(checked(gone), F.col("doc_id") == F.col(name), "left_anti")
