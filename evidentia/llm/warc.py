@@ -1,7 +1,10 @@
 """WARC archives of page captures: writing, reading, and assembly of transactions.
 
 Each capture is three records: request, response (or revisit) and metadata; request and
-metadata name the response's record in WARC-Concurrent-To. Reading parses the archives
+metadata name the response's record in WARC-Concurrent-To. A revisit names the record of
+the response it repeats in WARC-Refers-To, and its metadata the page of that. For this,
+all responses are written first, and revisits when the responses' records are known.
+Reading parses the archives
 into one row per record, joins them through these identifiers and gives one nested row
 per capture. A task writes one archive of gzip members and moves it in place when whole.
 """
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import bounded, checked, file_system, put, shared_dir
+from .store import bounded, checked, file_system, put, save, shared_dir
 
 DATE = "2024-01-01T00:00:00Z"
 #: Payloads of fewer bytes are never deduplicated.
@@ -28,8 +31,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _READ = 1 << 20
 
 
-def record_id(shard: int, index: int, kind: str) -> str:
-    return f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'{shard}/{index}/{kind}').urn}>"
+def record_id(archive: str, index: int, kind: str) -> str:
+    return f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'{archive}/{index}/{kind}').urn}>"
 
 
 def _safe(value: str) -> str:
@@ -50,63 +53,91 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _capture(shard: int, index: int, page_id, url, payload: bytes, refers_to, refers_url) -> Iterator[bytes]:
-    main, uri, sha = record_id(shard, index, "main"), None if url is None else _safe(url), digest(payload)
+def _records(archive: str, index: int, page_id, url, main: list[tuple], block: bytes, length: int, fields: str) -> Iterator[bytes]:
+    """Request, response or revisit (with headers ``main``), and metadata of one capture."""
+    own, uri = record_id(archive, index, "main"), None if url is None else _safe(url)
     host = re.match(r"(?s).*?://([^/?#]*)", url or "")
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
     get = f"GET {uri or '/'} HTTP/1.1\r\nHost: {_safe(host[1]) if host else ''}\r\n\r\n".encode()
-    yield record("request", record_id(shard, index, "request"), get, WARC_Target_URI=uri, WARC_Concurrent_To=main, Content_Type="application/http; msgtype=request")
-    if refers_to is None:
-        yield record("response", main, http + payload, WARC_Target_URI=uri, WARC_Payload_Digest=f"sha1:{sha}", Content_Type="application/http; msgtype=response")
-    else:
-        yield record("revisit", main, http, WARC_Target_URI=uri, WARC_Payload_Digest=f"sha1:{sha}", WARC_Profile=PROFILE, WARC_Refers_To_Target_URI=None if refers_url is None else _safe(refers_url), WARC_Refers_To_Date=DATE, Content_Type="application/http; msgtype=response")
-    fields = "" if page_id is None else f"page-id: {page_id}\r\n"
-    yield record("metadata", record_id(shard, index, "metadata"), fields.encode(), WARC_Target_URI=uri, WARC_Concurrent_To=main, Content_Type="application/warc-fields")
+    yield record("request", record_id(archive, index, "request"), get, WARC_Target_URI=uri, WARC_Concurrent_To=own, Content_Type="application/http; msgtype=request")
+    kind, more = main
+    yield record(kind, own, http + block, WARC_Target_URI=uri, **more, Content_Type="application/http; msgtype=response")
+    fields = ("" if page_id is None else f"page-id: {page_id}\r\n") + fields
+    yield record("metadata", record_id(archive, index, "metadata"), fields.encode(), WARC_Target_URI=uri, WARC_Concurrent_To=own, Content_Type="application/warc-fields")
 
 
-def _write(root: str):
+def _response(archive: str, index: int, page_id, url, html, sha) -> Iterator[bytes]:
+    payload = (html or "").encode()
+    return _records(archive, index, page_id, url, ("response", {"WARC_Payload_Digest": f"sha1:{digest(payload)}"}), payload, len(payload), "")
+
+
+def _revisit(archive: str, index: int, page_id, url, size, sha, first, first_url, first_record) -> Iterator[bytes]:
+    more = {
+        "WARC_Payload_Digest": f"sha1:{base64.b32encode(sha).decode()}", "WARC_Profile": PROFILE, "WARC_Refers_To": first_record,
+        "WARC_Refers_To_Target_URI": None if first_url is None else _safe(first_url), "WARC_Refers_To_Date": DATE,
+    }
+    return _records(archive, index, page_id, url, ("revisit", more), b"", size, f"refers-to-page-id: {first}\r\n")
+
+
+_WRITTEN = pa.schema([("archive", pa.string()), ("sha", pa.binary()), ("page_id", pa.int64()), ("url", pa.string()), ("record_id", pa.string())])
+_WRITTEN_SQL = "archive string, sha binary, page_id long, url string, record_id string"
+
+
+def _write(root: str, kind: str, capture):
+    """Writes one archive; gives its name, and the record of each response that others may revisit (``first`` is its own page)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, n = TaskContext.get().partitionId(), [0]
+        archive, n, targets = f"{kind}-{TaskContext.get().partitionId():08d}", [0], []
         fs, top = file_system(root)
         fs.create_dir(top, recursive=True)
 
         def write(out):
-            out.write(record("warcinfo", record_id(shard, 0, "info"), b"format: WARC file version 1.1\r\n", Content_Type="application/warc-fields"))
+            out.write(record("warcinfo", record_id(archive, 0, "info"), b"format: WARC file version 1.1\r\n", Content_Type="application/warc-fields"))
             for batch in batches:
+                names = batch.schema.names
                 for k in range(batch.num_rows):
-                    page, url, html, first, first_url = (batch.column(c)[k].as_py() for c in range(5))
-                    for data in _capture(shard, n[0], page, url, (html or "").encode(), first, first_url):
+                    row = [batch.column(c)[k].as_py() for c in range(batch.num_columns)]
+                    for data in capture(archive, n[0], *(row[:-1] if kind == "response" else row)):
                         out.write(data)
+                    if names[-1] == "target" and row[-1]:
+                        targets.append((archive, row[3], row[0], row[1], record_id(archive, n[0], "main")))
                     n[0] += 1
 
-        put(fs, f"{top}/{shard:08d}.warc.gz", write)
-        yield pa.record_batch([pa.array([shard], pa.int64()), pa.array([n[0]], pa.int64())], names=["shard", "captures"])
+        put(fs, f"{top}/{archive}.warc.gz", write)
+        targets.append((archive, None, None, None, None))
+        for lo in range(0, len(targets), 5000):
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*targets[lo : lo + 5000], strict=True), _WRITTEN, strict=True)], schema=_WRITTEN)
 
     return run
 
 
-def write(pages: DataFrame, root: str, min_bytes: int = MIN_BYTES) -> list[int]:
-    """Writes archives of all pages below ``root``; gives their numbers.
+def write(pages: DataFrame, root: str, min_bytes: int = MIN_BYTES) -> list[str]:
+    """Writes archives of all pages below ``root``; gives their names.
 
     Of pages with equal payloads of at least ``min_bytes`` bytes, the smallest page_id is
-    a response and the others revisit it. Only the digests that occur more than once are
-    joined back, so payloads do not move unless these are very many. Null html is an
-    empty payload; a page without an id revisits one with an id, and is a response
-    where no page of its payload has one. Rows that repeat the smallest id are responses.
+    a response and the others revisit it. Null html is an empty payload; a page without
+    an id revisits one with an id, and is a response where no page of its payload has
+    one. Rows that repeat the smallest id are responses, of which revisits name one.
+    Only digests that occur more than once are joined back, and only what is narrow goes
+    to all tasks; if that is too much, the join shuffles.
     """
-    rows = bounded(pages).select("page_id", "url", "html", F.sha1(F.coalesce(F.col("html"), F.lit(""))).alias("__sha"))
-    large = F.octet_length(F.coalesce(F.col("html"), F.lit(""))) >= min_bytes
-    firsts = (
-        rows.where(large).groupBy(F.col("__sha").alias("__first_sha"))
-        .agg(F.count(F.lit(1)).alias("__n"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("__first"))
-        .where("__n > 1 AND __first IS NOT NULL").select("__first_sha", "__first")
-    )
-    joined = rows.join(checked(firsts), large & (F.col("__sha") == F.col("__first_sha")), "left")
-    again = F.col("__first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("__first.page_id"))
-    out = joined.select("page_id", "url", "html", F.when(again, F.col("__first.page_id")).alias("first"), F.when(again, F.col("__first.url")).alias("first_url"))
-    return sorted(r.shard for r in out.mapInArrow(_write(root), "shard long, captures long").collect())
+    spark = pages.sparkSession
+    text = F.coalesce(F.col("html"), F.lit(""))
+    rows = bounded(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.unhex(F.sha1(text)).alias("sha"), F.octet_length(text).alias("size"))
+    firsts = rows.where(F.col("size") >= min_bytes).groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first")).where("n > 1 AND first IS NOT NULL").select("sha", "first")
+    firsts = save(firsts, shared_dir(spark, "warc-firsts"))
+    joined = rows.join(checked(firsts), "sha", "left")
+    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    single = joined.where(~again).select("page_id", "url", "html", "sha", F.col("first").isNotNull().alias("target"))
+    written = save(single.mapInArrow(_write(root, "response", _response), _WRITTEN_SQL), shared_dir(spark, "warc-responses"))
+    targets = written.where("sha IS NOT NULL").groupBy("sha").agg(F.min(F.struct("record_id", "page_id", "url")).alias("of"))
+    targets = targets.select("sha", F.col("of.page_id").alias("first"), F.col("of.url").alias("first_url"), F.col("of.record_id").alias("first_record"))
+    others = rows.drop("html").join(checked(targets), "sha").where(~F.col("page_id").eqNullSafe(F.col("first")))
+    others = others.select("page_id", "url", "size", "sha", "first", "first_url", "first_record")
+    second = save(others.mapInArrow(_write(root, "revisit", _revisit), _WRITTEN_SQL), shared_dir(spark, "warc-revisits"))
+    return sorted(r.archive for t in (written, second) for r in t.where("sha IS NULL").select("archive").distinct().collect())
 
 
 def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -129,34 +160,36 @@ def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         z, held = zlib.decompressobj(31), []
 
 
-_RECORD = pa.schema([("kind", pa.string()), ("record_id", pa.string()), ("concurrent_to", pa.string()), ("target_uri", pa.string()), ("page_id", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("intact", pa.bool_()), ("payload", pa.binary())])
-_RECORD_SQL = "kind string, record_id string, concurrent_to string, target_uri string, page_id long, payload_digest string, payload_bytes long, intact boolean, payload binary"
+_RECORD = pa.schema([("kind", pa.string()), ("record_id", pa.string()), ("concurrent_to", pa.string()), ("target_uri", pa.string()), ("page_id", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("intact", pa.bool_()), ("payload", pa.binary()), ("refers_to", pa.string()), ("refers_page", pa.int64())])
+_RECORD_SQL = "kind string, record_id string, concurrent_to string, target_uri string, page_id long, payload_digest string, payload_bytes long, intact boolean, payload binary, refers_to string, refers_page long"
 
 
 def _parse(root: str, payloads: bool):
     def row(fields: dict[str, str], block: bytes):
-        kind, page, sha, n, intact, payload = fields["WARC-Type"], None, None, None, None, None
+        kind, page, first, sha, n, intact, payload = fields["WARC-Type"], None, None, None, None, None, None
         if kind == "metadata":
             m = re.search(rb"^page-id: (-?\d+)\r$", block, re.M)
             page = int(m[1]) if m else None
+            m = re.search(rb"^refers-to-page-id: (-?\d+)\r$", block, re.M)
+            first = int(m[1]) if m else None
         elif kind in ("response", "revisit"):
             http, _, payload = block.partition(b"\r\n\r\n")
             sha = fields["WARC-Payload-Digest"].removeprefix("sha1:")
             n = int(re.search(rb"(?i)content-length: (\d+)", http)[1])
             intact = kind == "revisit" or len(payload) == n and digest(payload) == sha
-        return kind, fields["WARC-Record-ID"], fields.get("WARC-Concurrent-To"), fields.get("WARC-Target-URI"), page, sha, n, intact, payload if payloads and kind == "response" else None
+        return kind, fields["WARC-Record-ID"], fields.get("WARC-Concurrent-To"), fields.get("WARC-Target-URI"), page, sha, n, intact, payload if payloads and kind == "response" else None, fields.get("WARC-Refers-To"), first
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = file_system(root)
         for batch in batches:
-            for shard in batch.column(0).to_pylist():
+            for archive in batch.column(0).to_pylist():
                 out, size = [], 0
-                with fs.open_input_stream(f"{top}/{shard:08d}.warc.gz", compression=None) as stream:
+                with fs.open_input_stream(f"{top}/{archive}.warc.gz", compression=None) as stream:
                     for fields, block in records(stream):
                         if fields["WARC-Type"] == "warcinfo":
                             continue
                         out.append(row(fields, block))
-                        size += len(out[-1][-1] or b"") + 200
+                        size += len(out[-1][8] or b"") + 300
                         if size > 4 << 20:
                             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _RECORD, strict=True)], schema=_RECORD)
                             out, size = [], 0
@@ -166,11 +199,11 @@ def _parse(root: str, payloads: bool):
     return run
 
 
-def read(spark: SparkSession, root: str, shards: list[int], payloads: bool = False) -> DataFrame:
+def read(spark: SparkSession, root: str, archives: list[str], payloads: bool = False) -> DataFrame:
     """One row per request, response, revisit and metadata record of the archives."""
-    if not shards:
+    if not archives:
         return spark.createDataFrame([], _RECORD_SQL)
-    listed = spark.createDataFrame([(s,) for s in shards], "shard long").repartition(len(shards))
+    listed = spark.createDataFrame([(a,) for a in archives], "archive string").repartition(len(archives))
     return listed.mapInArrow(_parse(root, payloads), _RECORD_SQL)
 
 
@@ -189,11 +222,18 @@ def assemble(found: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, root: str | None = None) -> DataFrame:
-    """Writes, reads and assembles: page_id, payload_bytes, payload_digest, record_type, refers_to and intact."""
+    """Writes, reads and assembles: page_id, payload_bytes, payload_digest, record_type, refers_to and intact.
+
+    All of it is read from the archives: refers_to is the page that a revisit's metadata
+    names, and ``refers_to_record`` the record in its WARC-Refers-To. Nulls and repeated
+    rows as in :func:`write`; a payload of any length is one record; extra columns are
+    ignored.
+    """
     spark = pages.sparkSession
     root = root or shared_dir(spark, "warc")
     got = assemble(read(spark, root, write(pages, root)))
-    rows = got.select(F.col("metadata.page_id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.kind").alias("record_type"), F.col("request.target_uri").alias("target_uri"), F.col("response.intact").alias("intact"))
-    targets = rows.where("record_type = 'response'").groupBy(F.col("payload_digest").alias("__sha")).agg(F.min("page_id").alias("__first"))
-    revisit = F.col("record_type") == "revisit"
-    return rows.join(targets, revisit & (F.col("payload_digest") == F.col("__sha")), "left").select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("__first").alias("refers_to"), "target_uri", "intact")
+    return got.select(
+        F.col("metadata.page_id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
+        F.col("response.kind").alias("record_type"), F.col("metadata.refers_page").alias("refers_to"), F.col("response.refers_to").alias("refers_to_record"),
+        F.col("response.record_id").alias("record_id"), F.col("request.target_uri").alias("target_uri"), F.col("response.intact").alias("intact"),
+    )
