@@ -35,7 +35,7 @@ ROWS = 4
 #: Two pivots meet all pairs of a bucket of so many members.
 COVERED = 3
 #: Members of a bucket that a task holds on either side.
-BLOCK = 256
+BLOCK = 128
 #: How far document frequency spreads weights: idf lies between 1 and 1 + GAIN.
 GAIN = 1.0
 SKETCH_BITS = 19

@@ -282,7 +282,10 @@ def sample_one(vocabulary: Pieces, unit: bytes, key: int) -> list[int]:
     reach, exp, log = [0.0] * (n + 1), math.exp, math.log
     for at in range(1, n + 1):
         w = [reach[a] + x for a, _, x in into[at]]
-        top = max(w)
+        top = max(w, default=-math.inf)
+        if top == -math.inf:  # inside a character that is a piece
+            reach[at] = top
+            continue
         reach[at] = top + log(sum([exp(x - top) for x in w]))
     steps = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_STEP)
     out, at, u = [], n, (A.mix(np.uint64(key) + steps) >> np.uint64(32)).tolist()

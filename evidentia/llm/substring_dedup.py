@@ -116,7 +116,7 @@ def _frequent(width: int, key: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _chunks(batches):
             grams, n = np.unique(_hashed(table, width, key)[4], return_counts=True)
-            much = n > width
+            much = n > max(1, width - _ANCHOR + 1)  # so of more than one place
             yield pa.record_batch([pa.array(grams[much].view(np.int64)), pa.array(n[much])], names=["anchor", "n"])
 
     return run
