@@ -86,10 +86,11 @@ class Provider(Protocol):
     def answer(self, prompts: list[str]) -> list[tuple[str, float | None, float | None]]: ...
 
 
-def generate(prompts: DataFrame, provider: Provider, on_error: str = "empty") -> DataFrame:
+def generate(prompts: DataFrame, provider: Provider, on_error: str = "empty", batch: int = 64) -> DataFrame:
     """All columns of ``prompts`` (with ``prompt``) and generated_text, p_yes, p_no.
 
-    A failing call gives an empty text, or with ``on_error`` "note" the text ``NONE  # error: ...``.
+    The provider gets ``batch`` prompts a call; if that fails, each by itself, and a
+    failing one gives an empty text, or with ``on_error`` "note" the text ``NONE  # error: ...``.
     """
     schema = T.StructType([*prompts.schema.fields, T.StructField("generated_text", T.StringType()), T.StructField("p_yes", T.DoubleType()), T.StructField("p_no", T.DoubleType())])
 
@@ -99,10 +100,21 @@ def generate(prompts: DataFrame, provider: Provider, on_error: str = "empty") ->
         except Exception as e:  # noqa: BLE001
             return ("" if on_error == "empty" else f"NONE  # error: {e}", None, None)
 
+    def many(part):
+        try:
+            got = provider.answer(part)
+            if len(got) == len(part):
+                return got
+        except Exception:  # noqa: BLE001, S110 - asked again one by one, which notes the error
+            pass
+        return [one(p) for p in part]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            got = [one(p) for p in f["prompt"]]
-            yield f.assign(generated_text=[g[0] for g in got], p_yes=pd.array([g[1] for g in got], "Float64").to_numpy(float, na_value=np.nan), p_no=pd.array([g[2] for g in got], "Float64").to_numpy(float, na_value=np.nan))
+            asked = f["prompt"].tolist()
+            got = [g for lo in range(0, len(asked), batch) for g in many(asked[lo : lo + batch])]
+            number = lambda k: pd.array([g[k] for g in got], "Float64").to_numpy(float, na_value=np.nan)
+            yield f.assign(generated_text=[g[0] for g in got], p_yes=number(1), p_no=number(2))
 
     return prompts.mapInPandas(run, schema).withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("p_yes", "p_no")})
 

@@ -6,6 +6,8 @@ which a first row wins. Of several shortest paths the lexicographically least is
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,29 +24,35 @@ def undirected(edges: DataFrame, src: str = "x_name", dst: str = "y_name") -> Da
     return pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
+def _union(levels: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, levels)
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None, max_depth: int | None = None, back: int | None = None) -> DataFrame:
     """(source, node, path, depth) of all nodes reached from ``sources`` (source), or of ``targets`` (node) only.
 
     Level by level: the frontier meets the edges, visited (source, node) pairs fall away,
     and each new pair keeps its least path. A source reaches itself with a path of one.
     Levels end at ``max_depth`` edges, when nothing is new, or when every target is reached.
+    ``back`` is how many of the last levels an edge can lead back to: 2 in an undirected
+    graph, where only these are looked at for visited pairs; all levels if not given.
     """
     front = saved(sources.select("source", F.col("source").alias("node"), F.array("source").alias("path"), F.lit(0).alias("depth")).distinct(), "bfs")
-    levels, seen, depth = [front], front.select("source", "node"), 0
+    levels, depth, reached = [front], 0, 0
     wanted = None if targets is None else sources.distinct().count() * targets.distinct().count()
     while max_depth is None or depth < max_depth:
         depth += 1
         step = front.join(edges, front["node"] == edges["src"]).select("source", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+        seen = _union([x.select("source", "node") for x in (levels if back is None else levels[-back:])])
         front = saved(step.join(seen, ["source", "node"], "left_anti").groupBy("source", "node").agg(F.min("path").alias("path")).withColumn("depth", F.lit(depth)).select("source", "node", "path", "depth"), "bfs")
         if front.limit(1).count() == 0:
             break
         levels.append(front)
-        seen = seen.unionByName(front.select("source", "node"))
-        if wanted is not None and seen.join(targets.distinct(), "node", "left_semi").count() >= wanted:
-            break
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
+        if wanted is not None:
+            reached += (front if depth > 1 else _union(levels)).join(targets.distinct(), "node", "left_semi").count()
+            if reached >= wanted:
+                break
+    out = _union(levels)
     return out if targets is None else out.join(targets.distinct(), "node", "left_semi")
 
 
@@ -64,10 +72,7 @@ def paths_to_targets(edges: DataFrame, starts: DataFrame, targets: DataFrame, ma
             break
         levels.append(front)
         seen = seen.unionByName(front.select("target", "node"))
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out.join(starts.select(F.col("source").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("source"), F.col("target").alias("node"), "path", "depth")
+    return _union(levels).join(starts.select(F.col("source").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("source"), F.col("target").alias("node"), "path", "depth")
 
 
 def node_names(edges: DataFrame) -> DataFrame:

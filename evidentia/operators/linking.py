@@ -1,8 +1,9 @@
 """Linking names to graph nodes: exact, case-insensitive, by prefix and by embedding similarity.
 
-Similarity search takes the nodes as a bounded matrix: they are cut into blocks of
-``BLOCK`` rows, each block meets all queries in one matrix product, and the best k of
-each block are merged per query with a total order, so no pair table arises.
+Similarity search packs queries and nodes into blocks of ``BLOCK`` vectors. Every block of
+queries meets every block of nodes in a matrix product inside a task; the best k of each
+meeting are merged per query with a total order, so no table of pairs arises and nothing
+goes through the driver.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 20_000
+BLOCK = 4096
 
 
 def lower_map(nodes: DataFrame) -> DataFrame:
@@ -40,40 +41,44 @@ def prefix_matches(terms: DataFrame, nodes: DataFrame) -> DataFrame:
     return terms.withColumn("key", F.lower("term")).join(keyed, "key").select("term", F.col("name").alias("node"), "ord").distinct()
 
 
-def _best(matrix, ids: np.ndarray, k: int):
+def _pack(key, table):
+    """One row (block, ids, matrix) of unit vectors by ascending id."""
+    table = table.sort_by("id")
+    m = np.array(table["embedding"].to_pylist(), np.float64)
+    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    ids = table["id"].to_numpy().astype("<i8")
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()), "matrix": pa.array([m.astype("<f8").tobytes()], pa.binary())})
+
+
+def _blocks(rows: DataFrame, name: str, block: int) -> DataFrame:
+    n = rows.agg(F.count(F.lit(1)).alias("n")).first().n
+    parts = F.lit(max(1, -(-n // block)))
+    rows = rows.select(F.col(name).alias("id"), "embedding", F.pmod(F.xxhash64(name), parts).alias("block"))
+    return rows.groupBy("block").applyInArrow(_pack, "block long, ids binary, matrix binary")
+
+
+def _best(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = matrix.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                q = np.array(part.column(1).to_pylist(), np.float64)
-                if not len(q):
-                    continue
-                q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-                score = q @ m.T
-                top = np.lexsort((np.broadcast_to(ids, score.shape), -np.round(score, 12)), axis=1)[:, :k]
-                query = np.repeat(part.column(0).to_numpy(), top.shape[1])
-                yield pa.record_batch([pa.array(query), pa.array(ids[top].ravel()), pa.array(np.take_along_axis(score, top, 1).ravel())], names=["query_id", "node_id", "similarity"])
+            for row in batch.to_pylist():
+                queries, ids = (np.frombuffer(row[c], "<i8") for c in ("q_ids", "ids"))
+                q, m = (np.frombuffer(row[c], "<f8").reshape(len(i), -1) for c, i in (("q_matrix", queries), ("matrix", ids)))
+                for lo in range(0, len(queries), 256):
+                    score = q[lo : lo + 256] @ m.T
+                    top = np.lexsort((np.broadcast_to(ids, score.shape), -np.round(score, 12)), axis=1)[:, :k]
+                    query = np.repeat(queries[lo : lo + 256], top.shape[1])
+                    columns = [query, ids[top].ravel(), np.take_along_axis(score, top, 1).ravel()]
+                    yield pa.record_batch([pa.array(c) for c in columns], names=["query_id", "node_id", "similarity"])
 
     return run
 
 
 def top_k(queries: DataFrame, nodes: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, node_id, similarity): the k nearest nodes by cosine; ties by smaller node_id."""
-    spark, out = queries.sparkSession, None
-    ids = nodes.agg(F.count(F.lit(1)).alias("n")).first().n
-    parts = max(1, -(-ids // block))
-    for b in range(parts):
-        rows = nodes.where(F.pmod(F.xxhash64("node_id"), F.lit(parts)) == b).orderBy("node_id").toPandas()
-        if not len(rows):
-            continue
-        m = np.array(rows["embedding"].tolist(), np.float64)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        held = spark.sparkContext.broadcast(m)
-        got = queries.select("query_id", "embedding").mapInArrow(_best(held, rows["node_id"].to_numpy(np.int64), k), "query_id long, node_id long, similarity double")
-        out = got if out is None else out.unionByName(got)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, rank int, node_id long, similarity double")
+    left = _blocks(queries, "query_id", block).select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
+    right = _blocks(nodes, "node_id", block).select("ids", "matrix")
+    # blocks of the stated queries against blocks of all nodes: one row for each two blocks
+    out = left.crossJoin(right).mapInArrow(_best(k), "query_id long, node_id long, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "node_id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "node_id", "similarity")
 
@@ -100,3 +105,24 @@ def expand_sources(terms: DataFrame, nodes: DataFrame, similar: DataFrame) -> Da
     alone = direct.select("term", "node", "why", F.struct(F.lit(0).alias("kind"), F.lit(1).cast("long").alias("at")).alias("place"))
     rows = alone.unionByName(more.select("term", "node", "why", "place"))
     return rows.select("term", F.row_number().over(Window.partitionBy("term").orderBy("place", "node")).alias("pos"), "node", "why")
+
+
+def ranked_candidates(variants: DataFrame, entities: DataFrame, similar: DataFrame) -> DataFrame:
+    """(query_name, query_triples): the candidates of each query over its variants, with one running rank.
+
+    ``variants`` is (query, variant_pos, variant), ``entities`` (name, kg_index, ord). A
+    variant that is an entity's name, apart from case, has that one candidate, with
+    similarity 1; another has its nearest in ``similar`` (variant, node, rank, similarity).
+    A query without a variant has an empty list.
+    """
+    index = entities.groupBy("name").agg(F.max_by("kg_index", "ord").alias("kg_index"))
+    named = variants.withColumn("lname", F.lower("variant")).join(lower_map(entities), "lname", "left")
+    exact = named.where("node IS NOT NULL").select("query", "variant_pos", "variant", "node", F.lit(1).alias("rank"), F.lit(1.0).alias("similarity"))
+    near = named.where("node IS NULL").drop("node").join(similar, "variant").select("query", "variant_pos", "variant", "node", "rank", F.round("similarity", 6).alias("similarity"))
+    rows = exact.unionByName(near).join(index, F.col("node") == F.col("name"))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("variant_pos", "rank")))
+    triple = F.struct(F.col("place").alias("rank"), F.col("node").alias("entity_name"), "similarity", F.col("kg_index").alias("entity_index"), F.col("variant").alias("query_variant"))
+    lists = rows.groupBy("query").agg(F.array_sort(F.collect_list(triple)).alias("query_triples"))
+    whole = variants.select("query").distinct().join(lists, "query", "left")
+    none = F.array().cast(lists.schema["query_triples"].dataType)
+    return whole.select(F.col("query").alias("query_name"), F.coalesce("query_triples", none).alias("query_triples"))

@@ -15,13 +15,18 @@ RELEVANT = "potentially_relevant_present_features: "
 MISSING = "potentially_relevant_absent_features: "
 PATHS = "Reasoning Paths:\n"
 
+#: Fixed value: the closing sentence of each training instruction and of a custom one.
+CLOSING = (
+    "Reason and return the final answer derived from your reasoning, "
+    "with **Yes** or **No** printed and specified in the end."
+)
+
 # Our own wording.
 SYSTEM = {
     "default": "You get a disease, the features seen at the index visit, and those features that are known to bear on it, present and absent. Reason step by step whether the disease will be there at the next visit, and end with **Yes** or **No**.\n",
     "cradle": "You get a disease, the features seen at the index visit, and those features that are known to bear on it, present and absent. Reason step by step whether the disease will be there within one year, and end with **Yes** or **No**.\n",
     "no_kg": "You get a disease and the features seen at the index visit. Reason step by step, from general knowledge alone, whether the disease will be there at the next visit, and end with **Yes** or **No**.\n",
 }
-FINAL = "Reason and return the final answer derived from your reasoning, with **Yes** or **No** printed and specified in the end."
 
 
 def generation_input(disease: Column, present: Column, relevant: Column, missing: Column, answer: Column, paths: Column | None = None) -> Column:
@@ -56,7 +61,7 @@ def instruction(disease: Column, variant: str = "default", custom: str | None =
     body = [F.lit(parts[0])]
     for p in parts[1:]:
         body += [disease, F.lit(p)]
-    return F.concat(*body, F.lit("\n" + FINAL))
+    return F.concat(*body, F.lit("\n" + CLOSING))
 
 
 def answer(label: Column, style: str = "graph") -> Column:
@@ -70,6 +75,15 @@ def messages(system: Column, user: Column) -> Column:
     return F.array(item("system", system), item("user", user))
 
 
+def render_template(chat: Column, marks: dict[str, tuple[str, str]], opening: str) -> Column:
+    """One prompt by a model's own marks: text before and after a message of each role, and what opens the answer.
+
+    A role without marks goes as it is.
+    """
+    mark = lambda m, k: F.coalesce(*(F.when(m["role"] == r, F.lit(x[k])) for r, x in marks.items()), F.lit(""))
+    return F.concat(F.array_join(F.transform(chat, lambda m: F.concat(mark(m, 0), m["content"], mark(m, 1))), ""), F.lit(opening))
+
+
 def render(chat: Column, style: str = "plain") -> Column:
     """One prompt of the messages: ``plain`` has role lines; ``turns`` folds the system text into a user turn with turn marks."""
     if style == "turns":

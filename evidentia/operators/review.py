@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import conclusions
 from ..functions.text import clean_field, label_int
-
-#: Fixed value: the closing sentence of each training instruction.
-CLOSING = "Reason and return the final answer derived from your reasoning, with **Yes** or **No** printed and specified in the end."
+from .prompts import CLOSING
 
 
 def bucketed(records: DataFrame) -> DataFrame:
@@ -32,6 +30,16 @@ def training_rows(rows: DataFrame, append_final_instruction: bool = True) -> Dat
     return kept.select(*extra, instruction.alias("instruction"), F.when(F.trim(text) != "", text).otherwise("").alias("input"), clean_field(F.col("output"), "output").alias("output"))
 
 
+def bad_rows(rows: DataFrame) -> DataFrame:
+    """The records without a conclusion or a label of 0 or 1, as they were."""
+    return rows.where("bucket = 'bad'").drop("conclusion", "label_value", "bucket")
+
+
+def mismatch_rows(rows: DataFrame) -> DataFrame:
+    """The judged records that contradict their label: with ``_parsed_conclusion``, and the label as a whole number."""
+    return rows.where("bucket = 'mismatch'").withColumns({"label": F.col("label_value"), "_parsed_conclusion": F.col("conclusion")}).drop("conclusion", "label_value", "bucket")
+
+
 def totals(rows: DataFrame) -> DataFrame:
     of = lambda b: F.count_if(F.col("bucket") == b).alias(b)
     return rows.agg(F.count(F.lit(1)).alias("total"), of("kept"), of("mismatch"), of("bad"), F.count_if(F.col("conclusion").isNull()).alias("unparsed"))
@@ -44,8 +52,14 @@ def mismatch_by_label(rows: DataFrame) -> DataFrame:
 
 
 def accuracy_by_disease(rows: DataFrame) -> DataFrame:
-    """Records, judged records and accuracy (null if none is judged); a missing disease is ``<unknown>``."""
+    """Records, judged records, accuracy and ROC-AUC of the judged; a missing disease is ``<unknown>``.
+
+    Accuracy is null if none is judged, AUC if they have one label only. With a conclusion
+    as the score, AUC is the mean of the shares of each label that are told right.
+    """
     judged = F.col("bucket") != "bad"
+    right = lambda y: F.avg(F.when(judged & (F.col("label_value") == y), (F.col("bucket") == "kept").cast("int")))
     return rows.groupBy(F.coalesce("disease", F.lit("<unknown>")).alias("disease")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(judged).alias("n_valid"), F.avg(F.when(judged, (F.col("bucket") == "kept").cast("int"))).alias("accuracy"),
+        ((right(0) + right(1)) / 2).alias("auc"),
     )

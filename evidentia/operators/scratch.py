@@ -5,16 +5,28 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def saved(df: DataFrame, name: str = "step") -> DataFrame:
-    """Written below spark.checkpoint.dir and read back: survives a lost executor."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
+def folder(spark: SparkSession, name: str) -> str:
+    """A new place below spark.checkpoint.dir; where that is unset, a local one, but only if the master is local too."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="evidentia-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str = "step") -> DataFrame:
+    """Written below spark.checkpoint.dir and read back: survives a lost executor."""
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """Marks a narrow table for broadcast if it is counted to be small; else leaves the join to a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_key
+from .scratch import small
 
 
 def graph_worklist(entities: DataFrame, labels: DataFrame, widths: DataFrame | None = None) -> DataFrame:
@@ -18,7 +19,7 @@ def graph_worklist(entities: DataFrame, labels: DataFrame, widths: DataFrame | N
 
     ``widths`` (entity, width) drops labels beyond an entity's row and entities without one.
     """
-    pairs = entities.select("entity").distinct().crossJoin(F.broadcast(labels.where("disease <> ''")))
+    pairs = entities.select("entity").distinct().crossJoin(small(labels.where("disease <> ''")))
     if widths is not None:
         pairs = pairs.join(widths, "entity").where("label_idx < width").drop("width")
     return numbered(pairs, [F.col("entity")], [norm_key(F.col("disease")), F.col("label_idx")])
@@ -61,6 +62,11 @@ def piece(worklist: DataFrame, start: int = 0, end: int | None = None, order: st
     return rows if end is None else rows.where(F.col(order) < end)
 
 
+def preview(rows: DataFrame, order: str, n: int = 5) -> DataFrame:
+    """The first ``n`` rows by a column."""
+    return rows.orderBy(order).limit(n)
+
+
 def first_entities(worklist: DataFrame, n: int, start: int = 0, order: str = "ord") -> DataFrame:
     """From ``start`` on, the rows before the (n+1)-th distinct entity begins."""
     rows = piece(worklist, start, None, order)
@@ -90,7 +96,7 @@ def seeded_sample(rows: DataFrame, id_column: str, n: int, seed: int = 42) -> Da
     drawn = random.Random(seed).sample(ids, min(n, len(ids)))
     kind = rows.select(id_column).schema
     chosen = rows.sparkSession.createDataFrame([(x,) for x in drawn], kind)
-    return rows.join(F.broadcast(chosen), id_column, "left_semi")
+    return rows.join(small(chosen), id_column, "left_semi")
 
 
 def shuffled_cut(rows: DataFrame, names: str = "names", entity: str = "entity", most: int = 50, seed: int = 123) -> DataFrame:

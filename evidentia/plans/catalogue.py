@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -187,10 +189,10 @@ def refined_map_last_wins(spark, d):
     return names_.merge_maps(metrics.union_all([readers.refined_map(lines.where(F.col("f") == k), k) for k in range(3)]))
 
 
-@query("""WITH m AS (SELECT p_name AS query, min(p_size) AS kg_index FROM part WHERE p_partkey % 2 = 0 GROUP BY p_name) SELECT DISTINCT part.p_name AS name, CAST(kg_index AS BIGINT) AS kg_index FROM part LEFT JOIN m ON p_name = query""")
+@query("""WITH m AS (SELECT p_name AS query, min(p_size) AS kg_index FROM part WHERE p_name NOT LIKE 'r%' GROUP BY p_name) SELECT DISTINCT part.p_name AS name, CAST(kg_index AS BIGINT) AS kg_index FROM part LEFT JOIN m ON p_name = query""")
 def query_name_to_index(spark, d):
     part = I.table(spark, d, "part")
-    merged = part.where("p_partkey % 2 = 0").select(F.col("p_name").alias("query"), F.col("p_size").cast("long").alias("kg_index"))
+    merged = part.where("p_name NOT LIKE 'r%'").select(F.col("p_name").alias("query"), F.col("p_size").cast("long").alias("kg_index"))
     return names_.index_of_names(part.select(F.col("p_name").alias("name")).distinct(), merged)
 
 
@@ -311,7 +313,7 @@ def mismatch_by_label(spark, d):
     return long(rounded(review.mismatch_by_label(review.bucketed(I.records(spark, d)))))
 
 
-@query(f"WITH {I.RECORDS} SELECT coalesce(disease, '<unknown>') AS disease, count(*) AS n, count(*) FILTER (bucket <> 'bad') AS n_valid, round(avg(CASE WHEN bucket <> 'bad' THEN (bucket = 'kept')::INT END), 6) AS accuracy FROM bucketed GROUP BY 1")
+@query(f"WITH {I.RECORDS} SELECT coalesce(disease, '<unknown>') AS disease, count(*) AS n, count(*) FILTER (bucket <> 'bad') AS n_valid, round(avg(CASE WHEN bucket <> 'bad' THEN (bucket = 'kept')::INT END), 6) AS accuracy, round((avg(CASE WHEN label_value = 0 AND bucket <> 'bad' THEN (conclusion = 'No')::INT END) + avg(CASE WHEN label_value = 1 AND bucket <> 'bad' THEN (conclusion = 'Yes')::INT END)) / 2, 6) AS auc FROM bucketed GROUP BY 1")
 def per_disease_accuracy(spark, d):
     return rounded(review.accuracy_by_disease(review.bucketed(I.records(spark, d))))
 
@@ -360,10 +362,9 @@ def present_features(spark, d):
     return long(evidence.present_features(I.features(spark, d), I.names(spark, d)))
 
 
-@query(f"WITH {I.FEATURES}, small AS (SELECT * FROM names WHERE node_id < 50) SELECT o_orderkey AS entity, count(*) AS absent, CAST(sum(node_id) AS BIGINT) AS id_sum FROM orders, small WHERE NOT EXISTS (SELECT 1 FROM features f WHERE f.entity = o_orderkey AND f.node_id = small.node_id) GROUP BY o_orderkey")
+@query(f"WITH {I.FEATURES} SELECT o_orderkey AS entity, count(*) AS absent, CAST(sum(node_id) AS BIGINT) AS id_sum FROM orders, names n WHERE NOT EXISTS (SELECT 1 FROM features f WHERE f.entity = o_orderkey AND f.node_id = n.node_id) GROUP BY o_orderkey")
 def absent_features(spark, d):
-    rows = evidence.absent_features(I.entities(spark, d), I.features(spark, d), I.names(spark, d).where("node_id < 50"))
-    return rows.groupBy("entity").agg(F.count(F.lit(1)).alias("absent"), F.sum("node_id").alias("id_sum"))
+    return long(evidence.absent_totals(I.entities(spark, d), I.features(spark, d), I.names(spark, d)))
 
 
 _ALLOWED = (("  Hot   RING",), ("cold anvil",), ("nothing",))
@@ -426,7 +427,13 @@ def slice_worklist(spark, d):
     return worklist.piece(_work(spark, d), 100, 250)
 
 
-@query()
+def _drawn() -> str:
+    """The places that Python's generator draws from n ids in order, for the sizes of the driver's customer tables."""
+    return ", ".join(f"({n}, {k})" for n in (150, 1500, 15000) for k in random.Random(42).sample(range(n), n // 10))
+
+
+@query(f"""WITH drawn(n, k) AS (VALUES {_drawn()}), placed AS (SELECT c_custkey, c_name, row_number() OVER (ORDER BY CAST(c_custkey AS VARCHAR)) - 1 AS k, count(*) OVER () AS n FROM customer)
+    SELECT c_custkey, c_name FROM placed JOIN drawn USING (n, k)""")
 def seeded_sample(spark, d):
     rows = I.table(spark, d, "customer").select("c_custkey", "c_name")
     total = rows.count()
@@ -496,7 +503,7 @@ def eval_rows(spark, d):
     return long(rows.select("entity", "label_idx", "gold", prompts.evaluation_input(c("disease"), c("names"), c("have"), c("lack"), c("paths")).alias("prompt"), prompts.instruction(c("disease")).alias("instruction")))
 
 
-@query(f"WITH {I.FEATURES} SELECT entity, '### Input:' || chr(10) || 'Patient features present: ' || {_j('names', ', ')} || chr(10) || 'Disease to be verified: X' || chr(10) AS prompt, 'System: Verify X.' || chr(10) || {I.quoted(prompts.FINAL)} || chr(10) || 'User: hello' || chr(10) || 'Assistant: ' AS chat FROM lists")
+@query(f"WITH {I.FEATURES} SELECT entity, '### Input:' || chr(10) || 'Patient features present: ' || {_j('names', ', ')} || chr(10) || 'Disease to be verified: X' || chr(10) AS prompt, 'System: Verify X.' || chr(10) || {I.quoted(prompts.CLOSING)} || chr(10) || 'User: hello' || chr(10) || 'Assistant: ' AS chat FROM lists")
 def presence_prompts(spark, d):
     lists = evidence.feature_lists(evidence.present_features(I.features(spark, d), I.names(spark, d)))
     x = F.lit("X")
@@ -518,13 +525,13 @@ _DIRECTED = f"""{I.EDGES}, de AS (SELECT DISTINCT x_index AS src, y_index AS dst
 walks AS (SELECT a.src AS source, a.dst AS node, [a.src, a.dst] AS path FROM de a
           UNION ALL SELECT a.src, b.dst, [a.src, a.dst, b.dst] FROM de a JOIN de b ON a.dst = b.src
           UNION ALL SELECT a.src, c.dst, [a.src, a.dst, b.dst, c.dst] FROM de a JOIN de b ON a.dst = b.src JOIN de c ON b.dst = c.src),
-found AS (SELECT source, node, min(struct_pack(n := len(path), p := path)) AS m FROM walks WHERE node < 100 AND source >= 10000000 GROUP BY source, node),
+found AS (SELECT source, node, min(struct_pack(n := len(path), p := path)) AS m FROM walks WHERE node < 100 GROUP BY source, node),
 short AS (SELECT source, node, m.p AS path FROM found)"""
 
 
 def _to_regions(spark, d):
     e = I.edges(spark, d)
-    starts = e.where("x_index >= 10000000").select(F.col("x_index").alias("source"))
+    starts = e.select(F.col("x_index").alias("source"))
     targets = I.table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("node"))
     return graph.paths_to_targets(graph.directed(e), starts, targets, 3)
 
@@ -534,16 +541,16 @@ def bfs_directed_depth3(spark, d):
     return long(_to_regions(spark, d).select("source", "node", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "depth"))
 
 
-_SHORTEST = f"""{I.EDGES}, ue AS (SELECT x_name AS src, y_name AS dst FROM edges WHERE x_index < 100000000 UNION SELECT y_name, x_name FROM edges WHERE x_index < 100000000),
+_SHORTEST = f"""{I.EDGES}, ue AS (SELECT x_name AS src, y_name AS dst FROM edges UNION SELECT y_name, x_name FROM edges),
 r AS (SELECT r_name AS source, r_name AS node, [r_name] AS path, 0 AS depth FROM region
-      UNION ALL SELECT source, dst, min(list_append(path, dst)), depth + 1 FROM r JOIN ue ON node = src WHERE depth < 7 GROUP BY source, dst, depth),
+      UNION ALL SELECT source, dst, min(list_append(path, dst)), depth + 1 FROM r JOIN ue ON node = src WHERE depth < 5 GROUP BY source, dst, depth),
 short AS (SELECT source, node, arg_min(path, depth) AS path, min(depth) AS depth FROM r WHERE node IN (SELECT s_name FROM supplier) GROUP BY source, node)"""
 
 
 def _from_regions(spark, d):
-    e = graph.undirected(I.edges(spark, d).where("x_index < 100000000"))
+    e = graph.undirected(I.edges(spark, d))
     sources = I.table(spark, d, "region").select(F.col("r_name").alias("source"))
-    return graph.shortest_paths(e, sources, I.table(spark, d, "supplier").select(F.col("s_name").alias("node")))
+    return graph.shortest_paths(e, sources, I.table(spark, d, "supplier").select(F.col("s_name").alias("node")), back=2)
 
 
 @query(f"WITH RECURSIVE {_SHORTEST} SELECT source, node, array_to_string(path, '>') AS path, CAST(depth AS BIGINT) AS depth FROM short")
@@ -580,12 +587,12 @@ def path_render_patient(spark, d):
     return _patient_style(spark, d)
 
 
-@query(f"""WITH {_PATIENT}, ends AS (SELECT DISTINCT x_index % 50 AS patient, r_name AS disease, CAST(r_regionkey AS BIGINT) AS node FROM edges, region WHERE x_index >= 10000000),
+@query(f"""WITH {_PATIENT}, ends AS (SELECT DISTINCT x_index % 50 AS patient, r_name AS disease, CAST(r_regionkey AS BIGINT) AS node FROM edges, region),
     p AS (SELECT source % 50 AS patient, node, len(regexp_extract_all(rendered, '\\(edge\\)')) AS len FROM rendered)
     SELECT round(count(*) / (SELECT count(DISTINCT patient) FROM ends), 6) AS paths_per_patient, round(sum(len) / count(*), 6) AS path_length, round(count(*) / (SELECT count(*) FROM ends), 6) AS paths_per_endpoint FROM p""")
 def path_stats(spark, d):
     region = I.table(spark, d, "region").select(F.col("r_name").alias("disease"), F.col("r_regionkey").cast("long").alias("node"))
-    patients = I.edges(spark, d).where("x_index >= 10000000").select((F.col("x_index") % 50).alias("patient")).distinct()
+    patients = I.edges(spark, d).select((F.col("x_index") % 50).alias("patient")).distinct()
     paths = _patient_style(spark, d).withColumn("patient", F.col("source") % 50).join(F.broadcast(region), "node")
     return rounded(graph.path_statistics(paths, patients.crossJoin(F.broadcast(region)).select("patient", "disease")))
 
@@ -635,22 +642,35 @@ def similarity_threshold(spark, d):
     return linking.threshold(_similar(spark, d, 2), 0.5).select("query_id", "node_id")
 
 
-_NEAR = (("zz", "blue bolt", 1, 0.91), ("zz", "hot rod", 2, 0.87), ("red", "hot ring", 1, 0.93), ("blue gizmo", "red rod", 1, 0.99))
-_S = I.values(_NEAR, "term, node, rank, similarity", "sim")
+#: Stand-in embeddings: of the k-th term that of vector 20 k, of a node that of its place modulo 500.
+_S = """tv AS (SELECT term, embedding FROM tk JOIN embeddings ON vec_id = 20 * k), nv AS (SELECT name, ord, embedding FROM nodes JOIN embeddings ON vec_id = ord % 500),
+    near AS (SELECT term, name, ord, list_cosine_similarity(tv.embedding::DOUBLE[], nv.embedding::DOUBLE[]) AS similarity FROM tv, nv),
+    sim AS (SELECT term, name AS node, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY round(similarity, 12) DESC, ord) AS rank FROM near) WHERE rank <= 2 AND similarity >= 0.1)"""
+_TK = I.values([(t, k) for k, (t,) in enumerate(_TERMS)], "term, k", "tk")
+
+
+def _near(spark, d):
+    e = I.table(spark, d, "embeddings").where("embedding IS NOT NULL").select("vec_id", "embedding")
+    terms = I.inline(spark, [(20 * k, t, k) for k, (t,) in enumerate(_TERMS)], "vec_id long, term string, query_id long").join(e, "vec_id")
+    nodes = _nodes(spark, d).withColumn("vec_id", F.col("ord") % 500).join(e, "vec_id").withColumnRenamed("ord", "node_id")
+    found = linking.threshold(linking.top_k(terms.select("query_id", "embedding"), nodes.select("node_id", "embedding"), 2), 0.1)
+    return found.join(terms.select("query_id", "term"), "query_id").join(nodes.select("node_id", F.col("name").alias("node")), "node_id").select("term", "node", "rank", "similarity")
+
+
 _DIRECT = "direct AS (SELECT term, name AS node, CASE WHEN term = name THEN 'exact' ELSE 'exact(case-insensitive)' END AS why FROM t JOIN nodes ON lower(term) = lower(name))"
 
 
-@query(f"WITH {_NODES}, {_T}, {_S}, {_DIRECT} SELECT term, node, why AS status FROM direct UNION ALL SELECT term, node, printf('similar(score=%.3f)', similarity) FROM sim WHERE rank = 1 AND term NOT IN (SELECT term FROM direct)")
+@query(f"WITH {_NODES}, {_T}, {_TK}, {_S}, {_DIRECT} SELECT term, node, why AS status FROM direct UNION ALL SELECT term, node, printf('similar(score=%.3f)', similarity) FROM sim WHERE rank = 1 AND term NOT IN (SELECT term FROM direct)")
 def resolve_target(spark, d):
-    return linking.resolve_targets(I.inline(spark, _TERMS, "term string"), _nodes(spark, d), I.inline(spark, _NEAR, "term string, node string, rank int, similarity double"))
+    return linking.resolve_targets(I.inline(spark, _TERMS, "term string"), _nodes(spark, d), _near(spark, d))
 
 
-@query(f"""WITH {_NODES}, {_T}, {_S}, {_DIRECT}, m AS (SELECT term, node, printf('similar(score=%.3f)', similarity) AS why, 0 AS kind, rank AS place FROM sim WHERE term NOT IN (SELECT term FROM direct)
+@query(f"""WITH {_NODES}, {_T}, {_TK}, {_S}, {_DIRECT}, m AS (SELECT term, node, printf('similar(score=%.3f)', similarity) AS why, 0 AS kind, rank AS place FROM sim WHERE term NOT IN (SELECT term FROM direct)
     UNION ALL SELECT term, name, 'prefix_match', 1, ord FROM t JOIN nodes ON starts_with(lower(name), lower(term) || ' ') OR starts_with(lower(name), lower(term) || ',') WHERE term NOT IN (SELECT term FROM direct)),
     f AS (SELECT term, node, arg_min(why, kind * 1000000 + place) AS why, min(kind * 1000000 + place) AS place FROM m GROUP BY term, node)
     SELECT term, row_number() OVER (PARTITION BY term ORDER BY place) AS pos, node, why FROM (SELECT * FROM f UNION ALL SELECT term, node, why, 1 FROM direct)""")
 def expand_source(spark, d):
-    return long(linking.expand_sources(I.inline(spark, _TERMS, "term string"), _nodes(spark, d), I.inline(spark, _NEAR, "term string, node string, rank int, similarity double")))
+    return long(linking.expand_sources(I.inline(spark, _TERMS, "term string"), _nodes(spark, d), _near(spark, d)))
 
 
 # ---------------------------------------------------------------- arrays, probabilities, models

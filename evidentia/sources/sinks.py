@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import file_safe
@@ -35,6 +35,26 @@ def table_csv(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue="")
 
 
+def label_tables(metrics: DataFrame, path: str) -> None:
+    """Per-label metrics twice: CSV (``path``/csv) and one JSON array (``path``/json), by label_index."""
+    table_csv(metrics.orderBy("label_index"), f"{path}/csv")
+    json_array(metrics.withColumn("ord", F.col("label_index")), f"{path}/json", "ord")
+
+
+def review_files(rows: DataFrame, path: str) -> None:
+    """Three JSON arrays of bucketed records by ``ord``: training rows, unparsed ones, and mismatches."""
+    from ..operators import review
+
+    for name, part in (("alpaca", review.training_rows(rows)), ("bad", review.bad_rows(rows).withColumn("_ord", F.col("ord"))), ("mismatch", review.mismatch_rows(rows).withColumn("_ord", F.col("ord")))):
+        json_array(part, f"{path}/{name}", "ord" if name == "alpaca" else "_ord")
+
+
+def read_patient_paths(spark: SparkSession, path: str, schema: str, by: str | None = None, value=None) -> DataFrame:
+    """What :func:`patient_paths` wrote, all or of one patient or disease."""
+    rows = spark.read.schema(schema).parquet(path)
+    return rows if by is None else rows.where(F.col(by) == value)
+
+
 def summary(probability: DataFrame, hard: DataFrame, path: str) -> None:
     """One nested JSON object of two one-row metric tables."""
     one = probability.select(F.struct("*").alias("probability")).crossJoin(hard.select(F.struct("*").alias("hard_label")))
@@ -55,7 +75,7 @@ def path_mapping(rows: DataFrame, path: str) -> None:
 
 
 def patient_paths(rows: DataFrame, path: str) -> None:
-    """(patient, disease, label, start_index, path), replaced key by key: a repeated run does not repeat rows."""
+    """(patient, disease, label, start_index, path), added where the key is new: a repeated run does not repeat rows."""
     spark = rows.sparkSession
     key = ["patient", "disease", "start_index"]
     try:

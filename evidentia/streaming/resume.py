@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -30,11 +32,21 @@ def stream_append(spark: SparkSession, source: str, schema: str, transform: Call
     """Takes what is new in a Parquet folder since the last call, in one or more batches, and ends.
 
     The checkpoint holds the progress; a batch that was cut off is done again under the same
-    number and overwrites its own folder, so output is exactly once.
+    number and overwrites its own folder, so each input row is done once. With ``keys``, so
+    is each key: rows whose key an earlier batch has finished fall away.
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        out = transform(df.dropDuplicates(keys) if keys else df)
+        if keys:
+            df = df.dropDuplicates(keys)
+            if number:
+                try:
+                    done = spark.read.parquet(sink).where(F.col("batch") < number)
+                    df = pending(df, done, keys)
+                except AnalysisException as e:
+                    if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                        raise
+        out = transform(df)
         out.write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     stream = spark.readStream.schema(schema).parquet(source)

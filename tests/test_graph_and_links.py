@@ -169,7 +169,7 @@ def test_prompts(spark):
     ).first()
     assert row[0] == "### Input:\nDisease to be verified: D\n\ndiagnostic_features_present: a; b\n\npotentially_relevant_present_features: (none)\n\npotentially_relevant_absent_features: c\n\nReasoning Paths:\n- p\n- q\n\nAnswer: **False**\n"
     assert row[1] == "### Input:\nDisease to be verified: D\n\ndiagnostic_features_present:  (none)\n\npotentially_relevant_present_features: x\n\npotentially_relevant_absent_features: (none)\n\n"
-    assert row[2].endswith("Patient features absent(truncated): (none)\n") and row[3] == "Check D now.\n" + prompts.FINAL
+    assert row[2].endswith("Patient features absent(truncated): (none)\n") and row[3] == "Check D now.\n" + prompts.CLOSING
     assert row[4] == prompts.SYSTEM["no_kg"] and row[5] == "Yes" and row[6] == "<start_of_turn>user\nS\nU<end_of_turn>\n<start_of_turn>model\n"
     with pytest.raises(ValueError):
         prompts.render(prompts.messages(d, d), "other")
