@@ -37,7 +37,7 @@ COVERED = 3
 #: Members of a bucket that a task holds on either side.
 BLOCK = 128
 #: How far document frequency spreads weights: idf lies between 1 and 1 + GAIN.
-GAIN = 1.0
+GAIN = 0.5
 SKETCH_BITS = 19
 _SLICE = 1 << 14
 #: Sketches that a task adds up.
