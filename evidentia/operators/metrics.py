@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import small
+
 METRICS = ("acc", "bacc", "auc", "aupr", "f1")
 
 
@@ -101,9 +103,9 @@ def keep_labels(cells: DataFrame, index: DataFrame, mode: str = "drop_neg_only")
     if mode == "none":
         return cells
     if mode == "drop_neg_only":
-        return cells.join(F.broadcast(index.where("index < 0").select("label")), "label", "left_anti")
+        return cells.join(small(index.where("index < 0").select("label")), "label", "left_anti")
     if mode == "keep_nonneg_only":
-        return cells.join(F.broadcast(index.where("index >= 0").select("label")), "label", "left_semi")
+        return cells.join(small(index.where("index >= 0").select("label")), "label", "left_semi")
     raise ValueError(f"unknown filter mode: {mode}")
 
 

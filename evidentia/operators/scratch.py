@@ -27,6 +27,10 @@ def saved(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """Marks a narrow table for broadcast if it is counted to be small; else leaves the join to a shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = 200_000, size: int = 16 << 20) -> DataFrame:
+    """Marks a table for broadcast if it is counted and measured to be small; else leaves the join to a shuffle."""
+    width = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        width = width + (F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) if f.dataType.typeName() in ("string", "binary") else F.lit(8))
+    got = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("size")).first()
+    return F.broadcast(df) if got["n"] <= rows and (got["size"] or 0) <= size else df

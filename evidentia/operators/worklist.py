@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_key
-from .scratch import small
+from .scratch import saved, small
 
 
 def graph_worklist(entities: DataFrame, labels: DataFrame, widths: DataFrame | None = None) -> DataFrame:
@@ -87,15 +87,36 @@ def sample_size(total: int, ratio: float, available: int) -> int:
     return n
 
 
+def id_key(rows: DataFrame, column: str) -> Column:
+    """A string that sorts as :func:`id_order` does; digits are ASCII ones."""
+    text = F.col(column).cast("string")
+    other = F.concat(F.lit("1"), text)
+    if dict(rows.dtypes)[column] != "string":
+        return other
+    digits = F.regexp_replace(text, "^0+", "")
+    number = F.concat(F.lit("0"), F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+    return F.when(text.rlike(r"^[0-9]+\z"), number).otherwise(other)
+
+
 def seeded_sample(rows: DataFrame, id_column: str, n: int, seed: int = 42) -> DataFrame:
     """Rows of n ids drawn with Python's generator from all ids in :func:`id_order`.
 
-    That generator needs the ordered list of ids, so these (not the rows) come to the driver.
+    The generator draws places only, so the ids stay where they are: they are ranged by
+    their order and counted by range, and the driver holds the n drawn places. Ids that
+    are the same number ("1", "01") go by their text; rows without an id are not drawn.
     """
-    ids = id_order([r[0] for r in rows.select(id_column).distinct().collect()])
-    drawn = random.Random(seed).sample(ids, min(n, len(ids)))
-    kind = rows.select(id_column).schema
-    chosen = rows.sparkSession.createDataFrame([(x,) for x in drawn], kind)
+    key = id_key(rows, id_column)
+    ids = rows.select(F.col(id_column).alias("id"), key.alias("key")).where("id IS NOT NULL").distinct()
+    ranged = saved(ids.repartitionByRange("key", "id").withColumn("range", F.spark_partition_id()), "ids")
+    sizes = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    inside = F.row_number().over(Window.partitionBy("range").orderBy("key", "id")) - 1
+    placed = ranged.withColumn("inside", inside).join(small(first), "range").select("id", (F.col("first") + F.col("inside")).alias("place"))
+    drawn = random.Random(seed).sample(range(total), min(n, total))
+    places = rows.sparkSession.createDataFrame(pd.DataFrame({"place": pd.Series(drawn, dtype="int64")}), "place long")
+    chosen = placed.join(small(places), "place", "left_semi").select(F.col("id").alias(id_column))
     return rows.join(small(chosen), id_column, "left_semi")
 
 

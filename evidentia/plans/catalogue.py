@@ -13,6 +13,7 @@ from .. import models
 from ..functions import conclusions, text, vectors
 from ..operators import catalogue as names_
 from ..operators import evidence, graph, linking, metrics, prompts, review, worklist
+from ..operators.scratch import small
 from ..sources import readers
 from . import inputs as I
 
@@ -593,8 +594,8 @@ def path_render_patient(spark, d):
 def path_stats(spark, d):
     region = I.table(spark, d, "region").select(F.col("r_name").alias("disease"), F.col("r_regionkey").cast("long").alias("node"))
     patients = I.edges(spark, d).select((F.col("x_index") % 50).alias("patient")).distinct()
-    paths = _patient_style(spark, d).withColumn("patient", F.col("source") % 50).join(F.broadcast(region), "node")
-    return rounded(graph.path_statistics(paths, patients.crossJoin(F.broadcast(region)).select("patient", "disease")))
+    paths = _patient_style(spark, d).withColumn("patient", F.col("source") % 50).join(small(region), "node")
+    return rounded(graph.path_statistics(paths, patients.crossJoin(small(region)).select("patient", "disease")))
 
 
 @query("SELECT c_mktsegment AS seg, row_number() OVER (PARTITION BY c_mktsegment ORDER BY first_at, c_nationkey) AS pos, CAST(c_nationkey AS BIGINT) AS nation FROM (SELECT c_mktsegment, c_nationkey, min(c_custkey) AS first_at FROM customer GROUP BY 1, 2)")

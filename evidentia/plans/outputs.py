@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 from ..operators import catalogue as names_
 from ..operators import evidence, graph, linking, metrics, prompts, review, worklist
-from ..operators.scratch import folder
+from ..operators.scratch import folder, small
 from ..sources import readers, sinks
 from ..streaming import resume
 from . import catalogue as C
@@ -62,7 +62,7 @@ def review_files_round_trip(spark, d):
 def path_mapping_round_trip(spark, d):
     path = folder(spark, "mapping")
     customer, nation = I.table(spark, d, "customer"), I.table(spark, d, "nation")
-    rows = customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = customer.join(small(nation), F.col("c_nationkey") == F.col("n_nationkey"))
     sinks.path_mapping(rows.select(F.col("c_mktsegment").alias("disease"), F.col("c_custkey").alias("pos"), F.col("n_name").alias("path")), path)
     return long(readers.path_lists(spark, path).select("disease", "pos", "path"))
 
@@ -71,7 +71,7 @@ def path_mapping_round_trip(spark, d):
 def patient_paths_round_trip(spark, d):
     path = folder(spark, "paths")
     supplier, nation = I.table(spark, d, "supplier"), I.table(spark, d, "nation")
-    rows = supplier.join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = supplier.join(small(nation), F.col("s_nationkey") == F.col("n_nationkey"))
     rows = rows.select(F.col("s_suppkey").alias("patient"), F.col("n_name").alias("disease"), F.lit(1).cast("long").alias("label"), F.col("s_nationkey").cast("long").alias("start_index"), F.col("s_name").alias("path"))
     sinks.patient_paths(rows.where("start_index < 10"), path)
     sinks.patient_paths(rows, path)  # a repeated run adds what is new
@@ -128,7 +128,7 @@ def patient_path_search(spark, d):
     customer, region = I.table(spark, d, "customer"), I.table(spark, d, "region")
     starts = customer.select((F.col("c_custkey") % 50).alias("patient"), (F.col("c_custkey") + 10_000_000).alias("start_index"))
     patients = starts.select("patient").distinct()
-    ends = patients.crossJoin(F.broadcast(region.select(F.col("r_name").alias("disease"), F.lit(1).alias("label"), F.col("r_regionkey").cast("long").alias("end_index"))))
+    ends = patients.crossJoin(small(region.select(F.col("r_name").alias("disease"), F.lit(1).alias("label"), F.col("r_regionkey").cast("long").alias("end_index"))))
     found = graph.patient_paths(starts, ends, C._to_regions(spark, d))
     return found.select("patient", "disease", "start_index", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
@@ -141,7 +141,7 @@ def feature_statistics(spark, d):
     patients = I.edges(spark, d).select((F.col("x_index") % 50).alias("patient")).distinct()
     paths = C._patient_style(spark, d).withColumn("patient", F.col("source") % 50)
     positives = I.table(spark, d, "customer").select((F.col("c_custkey") % 50).alias("patient"), F.col("c_mktsegment").alias("feature"))
-    return rounded(graph.feature_statistics(paths, patients.crossJoin(F.broadcast(region)), positives))
+    return rounded(graph.feature_statistics(paths, patients.crossJoin(small(region)), positives))
 
 
 # ---------------------------------------------------------------- evidence, worklists, review

@@ -154,6 +154,12 @@ def test_seeded_sampling(spark):
     df = spark.createDataFrame([(i, "n") for i in range(30)], "id long, v string")
     want = set(random.Random(42).sample(sorted(range(30), key=str), 5))
     assert {r.id for r in worklist.seeded_sample(df, "id", 5).collect()} == want
+    mixed = ["10", "9", "x", "00", "123456789012345678901234567890", "", "a b", "é", "-3", "7\n", *(str(k) for k in range(40, 90))]
+    df = spark.createDataFrame([(i, k) for k, i in enumerate([*mixed, *mixed, None])], "id string, v long").repartition(5)
+    want = set(random.Random(7).sample(worklist.id_order(mixed), 20))
+    got = worklist.seeded_sample(df, "id", 20, 7).collect()
+    assert {r.id for r in got} == want and len(got) == 40
+    assert worklist.seeded_sample(df.limit(0), "id", 5).count() == 0 and worklist.seeded_sample(df, "id", 1000).count() == 2 * len(mixed)
     lists = spark.createDataFrame([(2, list("abcdef")), (3, list("ab"))], "entity long, names array<string>")
     x = list("abcdef")
     random.Random(123 + 2).shuffle(x)
