@@ -28,3 +28,11 @@ def test_search_with_nodes_of_one_hash(spark, monkeypatch):
     edges = spark.createDataFrame([("s", "a"), ("a", "t")], "src string, dst string")
     got = graph.shortest_paths(edges, spark.createDataFrame([("s",)], "source string")).collect()
     assert {r.node: r.path for r in got} == {"s": ["s"], "a": ["s", "a"], "t": ["s", "a", "t"]}
+
+
+def test_relations_of_the_asked_pairs_only(spark):
+    edges = spark.createDataFrame([(1, "A", "second", 2, "B", 5), (2, "B", "first", 1, "A", 1), (3, "C", "to", 2, "B", 2), (4, "D", "self", 4, "D", 3), (5, None, "r", 1, "A", 0)], EDGE)
+    asked = spark.createDataFrame([("A", "B"), ("D", "D"), ("A", "Q")], "src string, dst string")
+    got = sorted((r.src, r.dst, r.relation) for r in graph.relation_either(edges, asked, 3).collect())
+    assert got == [("A", "B", "first"), ("B", "A", "first"), ("D", "D", "self")]
+    assert ("C", "B", "to") in {(r.src, r.dst, r.relation) for r in graph.relation_either(edges).collect()}
