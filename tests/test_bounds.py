@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from evidentia.operators import graph, scratch
+from evidentia.plans import catalogue, outputs  # noqa: F401
+from evidentia.sources import readers, sinks
 
 EDGE = "x_index long, x_name string, relation string, y_index long, y_name string, ord long"
 
@@ -36,3 +38,13 @@ def test_relations_of_the_asked_pairs_only(spark):
     got = sorted((r.src, r.dst, r.relation) for r in graph.relation_either(edges, asked, 3).collect())
     assert got == [("A", "B", "first"), ("B", "A", "first"), ("D", "D", "self")]
     assert ("C", "B", "to") in {(r.src, r.dst, r.relation) for r in graph.relation_either(edges).collect()}
+
+
+def plan(spark, name):
+    return catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_absent_features_spread(spark):
+    for name in ['absent_features']:
+        p = plan(spark, name)
+        assert "REPARTITION_BY_NUM" in p
