@@ -48,3 +48,9 @@ def test_absent_features_spread(spark):
     for name in ['absent_features']:
         p = plan(spark, name)
         assert "REPARTITION_BY_NUM" in p
+
+
+def test_kg_edges_spread(spark):
+    for name in ['kg_edges_undirected']:
+        p = plan(spark, name)
+        assert "REPARTITION_BY_NUM" in p and p.count("REPARTITION_BY_NUM") > 2
