@@ -14,7 +14,10 @@ def entity_catalogue(edges: DataFrame) -> DataFrame:
     second = edges.select(F.col("y_name").alias("name"), F.col("y_index").alias("idx"), F.lit(1).alias("side"), "ord")
     rows = first.unionByName(second).where("name IS NOT NULL AND idx IS NOT NULL").withColumn("name", strip(F.col("name")))
     rows = rows.withColumn("kg_index", F.col("idx").try_cast("double").try_cast("long")).where("name <> '' AND kg_index IS NOT NULL")
-    return rows.groupBy("name").agg(F.max_by("kg_index", F.struct("side", "ord")).alias("kg_index"))
+    # A side at a time, so that both aggregates hold plain longs and are hashed, not sorted.
+    at = F.coalesce(F.col("ord").cast("long"), F.lit(-(1 << 63)))
+    last = lambda side: F.max_by(F.when(F.col("side") == side, F.col("kg_index")), F.when(F.col("side") == side, at))
+    return rows.groupBy("name").agg(last(1).alias("second"), last(0).alias("first")).select("name", F.coalesce("second", "first").alias("kg_index"))
 
 
 def positive_only(catalogue: DataFrame) -> DataFrame:

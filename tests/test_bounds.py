@@ -54,3 +54,9 @@ def test_kg_edges_spread(spark):
     for name in ['kg_edges_undirected']:
         p = plan(spark, name)
         assert "REPARTITION_BY_NUM" in p and p.count("REPARTITION_BY_NUM") > 2
+
+
+def test_entity_catalogue_hashed(spark):
+    for name in ['entity_catalogue']:
+        p = plan(spark, name)
+        assert "REPARTITION_BY_NUM" in p and "SortAggregate" not in p
