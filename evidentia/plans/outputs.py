@@ -28,7 +28,7 @@ def edge_table_round_trip(spark, d):
 def name_lines_round_trip(spark, d):
     path = folder(spark, "names")
     sinks.name_index_lines(names_.entity_catalogue(I.edges(spark, d)), path)
-    return long(readers.entity_lines(readers.whole_lines(spark, path)).select("name", "kg_index"))
+    return long(readers.entity_lines(readers.numbered_lines(spark, path)).select("name", "kg_index"))
 
 
 @query(f"""WITH {I.RECORDS} SELECT ord, sha256(input) AS input, sha256(output) AS output, label, disease FROM records""")

@@ -60,3 +60,8 @@ def test_entity_catalogue_hashed(spark):
     for name in ['entity_catalogue']:
         p = plan(spark, name)
         assert "REPARTITION_BY_NUM" in p and "SortAggregate" not in p
+
+
+def test_name_lines_are_read_apart(spark, monkeypatch):
+    monkeypatch.setattr(readers, "whole_lines", None)
+    assert catalogue.QUERIES["name_lines_round_trip"](spark, "/root/testdata/sf0.001").count() > 0
