@@ -65,3 +65,11 @@ def test_entity_catalogue_hashed(spark):
 def test_name_lines_are_read_apart(spark, monkeypatch):
     monkeypatch.setattr(readers, "whole_lines", None)
     assert catalogue.QUERIES["name_lines_round_trip"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_backward_search_makes_edges_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(graph, "bucketed", lambda *a: made.append(a[1:3]) or scratch.bucketed(*a))
+    edges = spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long")
+    got = graph.paths_to_targets(edges, edges.select(F.col("src").alias("source")), spark.createDataFrame([(3,)], "node long"), 3, 5).collect()
+    assert sorted(r.path for r in got) == [[1, 2, 3], [2, 3]] and made == [("dst", 5)]
