@@ -73,3 +73,9 @@ def test_backward_search_makes_edges_once(spark, monkeypatch):
     edges = spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long")
     got = graph.paths_to_targets(edges, edges.select(F.col("src").alias("source")), spark.createDataFrame([(3,)], "node long"), 3, 5).collect()
     assert sorted(r.path for r in got) == [[1, 2, 3], [2, 3]] and made == [("dst", 5)]
+
+
+def test_patient_rendering_spread(spark):
+    for name in ['path_render_patient', 'path_stats', 'feature_statistics']:
+        p = plan(spark, name)
+        assert "REPARTITION_BY_NUM" in p
