@@ -129,7 +129,7 @@ def patient_path_search(spark, d):
     starts = customer.select((F.col("c_custkey") % 50).alias("patient"), (F.col("c_custkey") + 10_000_000).alias("start_index"))
     patients = starts.select("patient").distinct()
     ends = patients.crossJoin(small(region.select(F.col("r_name").alias("disease"), F.lit(1).alias("label"), F.col("r_regionkey").cast("long").alias("end_index"))))
-    found = graph.patient_paths(starts, ends, C._to_regions(spark, d))
+    found = graph.patient_paths(starts, ends, C._to_regions(spark, d), I.parts(spark, d))
     return found.select("patient", "disease", "start_index", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 

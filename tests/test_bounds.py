@@ -79,3 +79,9 @@ def test_patient_rendering_spread(spark):
     for name in ['path_render_patient', 'path_stats', 'feature_statistics']:
         p = plan(spark, name)
         assert "REPARTITION_BY_NUM" in p
+
+
+def test_patient_paths_spread(spark):
+    for name in ['patient_path_search']:
+        p = plan(spark, name)
+        assert "REPARTITION_BY_NUM" in p
