@@ -51,7 +51,7 @@ def review_files_round_trip(spark, d):
     sinks.review_files(review.bucketed(I.records(spark, d)), path)
     rows = []
     for name, label, parsed in (("alpaca", None, None), ("bad", "label", None), ("mismatch", "label", "_parsed_conclusion")):
-        items = spark.read.text(f"{path}/{name}", wholetext=True).select(F.explode(F.from_json("value", "array<struct<output string, label string, _parsed_conclusion string>>")).alias("x"))
+        items = readers.json_array_items(spark, f"{path}/{name}", "output string, label string, _parsed_conclusion string")
         pick = lambda c: F.col(f"x.{c}") if c else F.lit(None).cast("string")
         rows.append(items.select(F.lit(name).alias("file"), F.sha2("x.output", 256).alias("output"), pick(label).alias("label"), pick(parsed).alias("parsed")))
     return metrics.union_all(rows)

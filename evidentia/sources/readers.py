@@ -185,6 +185,12 @@ def json_lines(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
     return spark.read.schema(schema).json(path)
 
 
+def json_array_items(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(x) of a JSON array with one record a line, as ``sinks.json_array`` and its pieces have it; lines are read apart."""
+    line = F.regexp_replace(F.regexp_replace("value", r"^\[", ""), r"[,\]]\z", "")
+    return spark.read.text(path).select(line.alias("line")).where("line <> ''").select(F.from_json("line", schema).alias("x"))
+
+
 def name_list(spark: SparkSession, path: str, allow_empty: bool = True) -> list:
     """A JSON array file, small by nature, as a list; anything else is an error."""
     text = spark.read.text(path, wholetext=True).first()

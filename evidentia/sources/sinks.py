@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import file_safe
+from ..operators.scratch import saved
 
 
 def name_index_lines(rows: DataFrame, path: str) -> None:
@@ -30,6 +31,21 @@ def json_array(rows: DataFrame, path: str, order: str) -> None:
     one.coalesce(1).write.mode("overwrite").text(path)
 
 
+def json_array_pieces(rows: DataFrame, path: str, order: str) -> None:
+    """The text of :func:`json_array` in many files, one record a line: joined by file name they are the array.
+
+    The rows are kept once as lines; their sorted files tell which line opens the array and which ends it.
+    """
+    body = F.struct(*[c for c in rows.columns if c != order])
+    lines = saved(rows.select(F.col(order).alias("k"), F.to_json(body, {"ignoreNullFields": "false"}).alias("v")).orderBy("k", "v").select("v", F.monotonically_increasing_id().alias("at")), "lines")
+    ends = lines.agg(F.min("at").alias("lo"), F.max("at").alias("hi")).first()
+    if ends["lo"] is None:
+        rows.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        return
+    text = F.concat(F.when(F.col("at") == ends["lo"], "[").otherwise(""), "v", F.when(F.col("at") == ends["hi"], "]").otherwise(","))
+    lines.select("at", text.alias("value")).orderBy("at").select("value").write.mode("overwrite").text(path)
+
+
 def table_csv(rows: DataFrame, path: str) -> None:
     """CSV with header in one file; a missing metric is blank."""
     rows.coalesce(1).write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue="")
@@ -42,11 +58,11 @@ def label_tables(metrics: DataFrame, path: str) -> None:
 
 
 def review_files(rows: DataFrame, path: str) -> None:
-    """Three JSON arrays of bucketed records by ``ord``: training rows, unparsed ones, and mismatches."""
+    """Three JSON arrays of bucketed records by ``ord``, in pieces: training rows, unparsed ones, and mismatches."""
     from ..operators import review
 
     for name, part in (("alpaca", review.training_rows(rows)), ("bad", review.bad_rows(rows).withColumn("_ord", F.col("ord"))), ("mismatch", review.mismatch_rows(rows).withColumn("_ord", F.col("ord")))):
-        json_array(part, f"{path}/{name}", "ord" if name == "alpaca" else "_ord")
+        json_array_pieces(part, f"{path}/{name}", "ord" if name == "alpaca" else "_ord")
 
 
 def read_patient_paths(spark: SparkSession, path: str, schema: str, by: str | None = None, value=None) -> DataFrame:

@@ -85,3 +85,17 @@ def test_patient_paths_spread(spark):
     for name in ['patient_path_search']:
         p = plan(spark, name)
         assert "REPARTITION_BY_NUM" in p
+
+
+def test_array_in_pieces(spark, tmp_path):
+    import json
+
+    rows = spark.createDataFrame([(k, f"t{k}\né") for k in range(40)], "ord int, output string").repartition(3)
+    for name, part in (("all", rows), ("one", rows.where("ord = 7")), ("none", rows.where("ord < 0"))):
+        path = str(tmp_path / name)
+        sinks.json_array_pieces(part, path, "ord")
+        files = sorted((tmp_path / name).glob("part-*"))
+        want = sorted(r.ord for r in part.collect())
+        assert json.loads("".join(f.read_text(encoding="utf-8") for f in files)) == [{"output": f"t{k}\né"} for k in want]
+        assert sorted(r.x.output for r in readers.json_array_items(spark, path, "output string").collect()) == sorted(f"t{k}\né" for k in want)
+    assert len(list((tmp_path / "all").glob("part-*"))) > 1
