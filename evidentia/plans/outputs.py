@@ -150,7 +150,7 @@ def feature_statistics(spark, d):
 @query(f"""WITH {I.FEATURES}, {I.values(C._ALLOWED, 'name', 'a')}, g AS (SELECT DISTINCT name FROM names WHERE name IN (SELECT lower(trim(regexp_replace(name, '\\s+', ' ', 'g'))) FROM a))
     SELECT entity, coalesce((SELECT string_agg(name, ', ' ORDER BY name) FROM g WHERE NOT list_contains(lists.names, g.name)), '') AS absent FROM lists""")
 def name_gate_absent(spark, d):
-    lists = evidence.feature_lists(evidence.present_features(I.features(spark, d), I.names(spark, d)))
+    lists = I.lists(spark, d)
     return evidence.gated_absent(lists, I.names(spark, d), I.inline(spark, C._ALLOWED, "name string")).select("entity", F.array_join("absent", ", ").alias("absent"))
 
 

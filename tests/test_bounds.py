@@ -99,3 +99,9 @@ def test_array_in_pieces(spark, tmp_path):
         assert json.loads("".join(f.read_text(encoding="utf-8") for f in files)) == [{"output": f"t{k}\né"} for k in want]
         assert sorted(r.x.output for r in readers.json_array_items(spark, path, "output string").collect()) == sorted(f"t{k}\né" for k in want)
     assert len(list((tmp_path / "all").glob("part-*"))) > 1
+
+
+def test_prompt_rows_spread(spark):
+    for name in ['eval_rows', 'prompt_rows']:
+        p = plan(spark, name)
+        assert "REPARTITION_BY_NUM" in p and p.count("REPARTITION_BY_NUM") > 3
