@@ -87,9 +87,12 @@ def test_patient_paths_spread(spark):
         assert "REPARTITION_BY_NUM" in p
 
 
-def test_array_in_pieces(spark, tmp_path):
+def test_array_in_pieces(spark, tmp_path, request):
     import json
 
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # few rows would go to one file
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+
     rows = spark.createDataFrame([(k, f"t{k}\né") for k in range(40)], "ord int, output string").repartition(3)
     for name, part in (("all", rows), ("one", rows.where("ord = 7")), ("none", rows.where("ord < 0"))):
         path = str(tmp_path / name)
