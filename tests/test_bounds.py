@@ -81,6 +81,37 @@ def test_patient_rendering_spread(spark):
         assert "REPARTITION_BY_NUM" in p
 
 
+def test_crowded_steps_are_not_sent_to_one_task(spark, monkeypatch):
+    most = []
+
+    def spread(df, parts, *keys):
+        most.append(df.groupBy(*keys).count().agg(F.max("count")).first()[0])
+        return scratch.spread(df, parts, *keys)
+
+    edges = spark.createDataFrame([(k, f"n{k}", "in", 1, "hub", k) for k in range(100, 700)] + [(1, "hub", "of", 2, "end", 1)], EDGE)
+    paths = spark.createDataFrame([(k, [k, 1, 2]) for k in range(100, 700)] + [(1, [1, 2]), (2, [2])], "path_id long, path array<long>")
+    queries = spark.createDataFrame([(2, "END"), (150, "Q")], "node long, query string")
+    relations, names = graph.relation_directed(edges, 3), graph.node_names(edges, 3)
+    monkeypatch.setattr(graph, "CROWD", 100, raising=False)
+    monkeypatch.setattr(graph, "spread", spread)
+    got = {r.path_id: r.rendered for r in graph.render_by_index(paths, relations, names, queries, 3).collect()}
+    last = "hub(node)->of(edge)->END(node)"
+    assert got == {k: ("Q" if k == 150 else "") + f"(node)->in(edge)->{last}" for k in range(100, 700)} | {1: "(node)->of(edge)->END(node)", 2: ""}
+    assert max(x for x in most if x) <= 100
+
+
+def test_both_sides_of_the_path_joins_are_spread(spark, monkeypatch):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")  # else one side would be dealt anew, to this many and then coalesced by bytes
+    try:
+        edges = spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long")
+        paths = graph.paths_to_targets(edges, edges.select(F.col("src").alias("source")), spark.createDataFrame([(3,)], "node long"), 3, 5)
+        assert "ENSURE_REQUIREMENTS" not in paths._jdf.queryExecution().executedPlan().toString() and paths.count() == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_patient_paths_spread(spark):
     for name in ['patient_path_search']:
         p = plan(spark, name)
